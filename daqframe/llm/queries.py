@@ -22,6 +22,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daqframe.llm.neardup import Settings, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(shingle=3, percent=85))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daqframe.llm.langid import identify
 
@@ -36,7 +42,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_sharding, op7_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
