@@ -41,8 +41,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daqframe.llm.substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
