@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daqframe.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daqframe.llm.quality_classifier import classify
 
@@ -48,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
