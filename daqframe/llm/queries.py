@@ -55,6 +55,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from daqframe.llm.ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daqframe.llm.substring import repeated_passages
 
@@ -62,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op8_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
