@@ -34,6 +34,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(shingle=3, percent=85))
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from daqframe.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from daqframe.llm.langid import identify
 
@@ -68,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_near_duplicates, op7_language_id, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_near_duplicates, op6_byte_level_bpe, op7_language_id, op8_best_fit_packing, op9_nearest_neighbours, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
