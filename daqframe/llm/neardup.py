@@ -260,3 +260,9 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     result = made.select("doc_id", "n_shingles").join(reached, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def representatives(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """documents less those that near_duplicates doesn't keep."""
+    gone = checkpointed(near_duplicates(documents, s).where("not kept").select("doc_id").distinct())
+    return documents.join(F.broadcast(gone) if gone.count() <= 1 << 20 else gone, "doc_id", "left_anti")

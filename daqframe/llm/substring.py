@@ -203,7 +203,10 @@ def shared_windows(documents: DataFrame, window: int) -> DataFrame:
 
 
 def without_windows(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Documents with a list of windows: what is left after their words are removed. with_text: the text itself too."""
+    """Documents with a list of windows: what is left after their words are removed.
+
+    with_text: also text_key, a hash of the whole text, and kept_text, null where nothing is removed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,16 +227,22 @@ def without_windows(documents: DataFrame, window: int, with_text: bool) -> DataF
                     left.append(b" ".join([whole[a:z] for a, z in zip(starts[stay], ends[stay])]))
                 removed = row_sums(gone, bounds)
                 columns = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), pa.array([digest(x) for x in left])]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.decode() if n else None for x, n in zip(left, removed)], pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
+                if with_text:
+                    columns += [rows.column("text_key"), pa.array([x.decode() if n else None for x, n in zip(left, removed)], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "text_key", "kept_text"][: len(columns)])
 
-    return documents.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text_key long, kept_text string" * with_text
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "windows").mapInArrow(run, schema)
 
 
 EMPTY = digest(b"")
 
 
 def repeated_passages(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row; with_text: also kept_text, null where nothing is removed."""
+    """doc_id, n_words, n_removed and kept_sha256 of every row.
+
+    with_text: also kept_text, null where nothing is removed, and text_key, a hash of the whole text, null for copies as a whole.
+    """
     from daqframe.llm.neardup import with_nodes
 
     texts = narrow(documents)
@@ -256,5 +265,21 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW, with_text: boo
     flags = whole.withColumn("copy", F.lit(True)).unionByName(hits.select("doc_id").withColumn("copy", F.lit(False)))
     rest = made.select("doc_id", "n_words", "full_sha256").join(flags, "doc_id", "left").where("copy is null or copy")
     copy = F.coalesce("copy", F.lit(False))
-    rest = rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.col("full_sha256")).alias("kept_sha256"), F.when(copy, "").alias("kept_text"))
-    return (rest if with_text else rest.drop("kept_text")).unionByName(cut)
+    rest = rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.col("full_sha256")).alias("kept_sha256"), F.lit(None).cast("long").alias("text_key"), F.when(copy, "").alias("kept_text"))
+    return (rest if with_text else rest.drop("text_key", "kept_text")).unionByName(cut)
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """documents with repeated passages taken out of text; texts that lose nothing stay as they are, spaces included.
+
+    Only rows that change are joined with their new text. A row whose every word is repeated stays, with an empty text.
+    """
+    changed = written(repeated_passages(documents, with_text=True).where("n_removed > 0").select("doc_id", "text_key", "kept_text").distinct())
+    ids = checkpointed(changed.select("doc_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= 1 << 20 else ids
+    same = documents.join(ids, "doc_id", "left_anti")
+    touched = documents.join(ids, "doc_id", "left_semi").withColumn("_key", F.xxhash64("text")).alias("d")
+    fits = (F.col("d.doc_id") == F.col("c.doc_id")) & F.coalesce(F.col("d._key") == F.col("c.text_key"), F.lit(True))
+    new = touched.join(changed.alias("c"), fits, "left")
+    columns = [F.coalesce("c.kept_text", "d.text").alias("text") if c == "text" else F.col(f"d.{c}").alias(c) for c in documents.columns]
+    return same.unionByName(new.select(*columns))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from daqframe.llm.substring import anchors, repeated_passages
+from daqframe.llm.substring import anchors, repeated_passages, without_repeats
 from daqframe.llm.textblock import TextBlock
 from tests.llm.conftest import prose
 
@@ -62,5 +62,12 @@ def test_matches_brute_force(spark, documents, odd_rows, seed):
     assert sum(w[2] > 0 for w in want) > 20
 
 
+def test_texts_without_repeats(spark, documents):
+    passage = prose(9, 60, 4000)
+    rows = [(1, "a  b " + passage), (2, passage + "\n tail"), (3, passage), (3, "x " + passage + " y"), (3, "plain\ttext"), (4, None), (5, passage)]
+    got = sorted(((r.doc_id, r.text, r.source) for r in without_repeats(documents(rows)).collect()), key=str)
+    assert got == sorted([(1, "a  b " + passage, "src0"), (2, "tail", "src0"), (3, "", "src0"), (3, "x y", "src0"), (3, "plain\ttext", "src0"), (4, None, "src0"), (5, "", "src0")], key=str)
+
+
 def test_empty_table(spark, documents):
     assert repeated_passages(documents([])).collect() == []
