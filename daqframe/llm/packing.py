@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daqframe.llm.sampling import narrow
-from daqframe.llm.session import ranked
+from daqframe.llm.session import checkpointed, ranked
 
 CAPACITY = 2048
 END = 0
@@ -131,7 +131,8 @@ def sweeps(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (narrow rows with doc_id, piece and length) with sequence_id and offset."""
-    placed = ranked(cut, [F.col("length").desc(), F.col("doc_id"), F.col("piece")])
+    # checkpointed, as a range sort reads its input twice and would tokenise twice
+    placed = ranked(checkpointed(cut), [F.col("length").desc(), F.col("doc_id"), F.col("piece")])
     counts = {int(r[0]): int(r[1]) for r in placed.groupBy("length").count().collect()}  # at most capacity rows
     runs, _ = sweeps(counts, capacity)
     shared = cut.sparkSession.sparkContext.broadcast(runs)  # bounded by the capacity, not by the documents
