@@ -43,9 +43,11 @@ def csv_lines(samples: DataFrame) -> DataFrame:
 
 
 def write_csv(samples: DataFrame, path: str) -> None:
-    """Lines in file order, range-sorted into part files; each part starts with the header."""
-    ordered = csv_lines(samples).orderBy("path", "sequence", "sample_index", "channel_id", "element").select(F.col("line").alias(CSV_HEADER))
-    ordered.write.option("header", True).option("quote", "").option("quoteAll", False).csv(path)
+    """Rows in file order, range-sorted into part files; each part starts with the header."""
+    ordered = samples.orderBy("path", "sequence", "sample_index", "channel_id", "element")
+    physical = F.when(F.col("logical_type") != FIXED, shortest(F.col("physical")))
+    columns = ["sequence", "stream_id", F.col("sample_index").cast("string").alias("sample_index"), "time_ticks", "channel_id", "channel_name", "element", raw_text().alias("raw"), physical.alias("physical"), "unit"]
+    ordered.select(*columns).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def finite(x: Column) -> Column:
