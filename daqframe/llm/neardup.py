@@ -229,13 +229,15 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     """doc_id, n_shingles, component_id and kept of every row."""
     made = checkpointed(sketches(documents, s))
     sets = made.where("key1 is not null and doc_id is not null")
-    classes = sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    # checkpointed, so the join gets two plain exchanges and a class of very many copies can be split
+    classes = checkpointed(sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")))
     member = checkpointed(sets.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "node"))
     nodes = made.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("key1 is not null").select(F.col("doc_id").alias("node"), "bands", "packed")
     nodes = checkpointed(nodes)
     bits = nodes.groupBy("node").agg(F.first("packed").alias("packed"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
+    heads = checkpointed(heads)
     inside = checkpointed(buckets.join(heads, "bucket").distinct())
     pairs = inside.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(bits.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b").join(bits.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
