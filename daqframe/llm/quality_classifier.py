@@ -131,9 +131,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 4096, longes
 
 
 def score_rows(documents: DataFrame, model: Model, keep_from: float | None = None) -> DataFrame:
-    """documents with a column score in place of any it has; with keep_from only rows that score as much, without the column."""
+    """documents with a column score in place of any it has; with keep_from instead only rows that score as much, all columns as they were."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # FAMILIES * BUCKETS numbers: 1 MB at any corpus size
-    documents = documents.drop("score")
+    if keep_from is None:
+        documents = documents.drop("score")
     names = documents.columns
     out = documents.schema if keep_from is not None else T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
 

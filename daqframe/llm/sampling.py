@@ -29,3 +29,11 @@ def with_ids(documents: DataFrame, ids: list[int]) -> DataFrame:
     spark = documents.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     return narrow(documents).join(F.broadcast(wanted), "doc_id", "left_semi")
+
+
+def unused(table: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of the table has it."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daqframe.llm.sampling import unused
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # a run that is too short can hold no longer match, so the least length may stand in the pattern
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -95,7 +97,7 @@ def tested(candidates: Column) -> Column:
             .otherwise(some("lower", 26) + some("upper", 26) + some("digit", 10) + some("plus", 2) + some("dash", 2))
         ).cast("double")
         squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-        kept = F.aggregate(F.array(x["lower"], x["upper"], x["digit"], x["plus"] + x["dash"]), F.lit(0.0), lambda acc, c: acc + c * (c - 1))
+        kept = F.aggregate(F.array(x["lower"], x["upper"], x["digit"], x["plus"] + x["dash"]), F.lit(0.0), lambda acc, c: acc + c.cast("double") * (c - 1))
         codes = F.transform(x["chars"], lambda c: F.ascii(c).cast("double"))
         mean = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
         return F.struct(
@@ -129,18 +131,18 @@ def discovered(tests: Column) -> Column:
     return F.filter(tests, lambda x: x["p"] <= F.coalesce(F.array_max(passing), F.lit(-1.0)))
 
 
-def with_spans(documents: DataFrame) -> DataFrame:
+def with_spans(documents: DataFrame, base_spans: str = "base_spans", all_spans: str = "all_spans") -> DataFrame:
     """documents with base_spans (of the patterns) and all_spans (with the battery's): sorted structs of start, kind and end.
 
     kind counts in KINDS. Columns of these names in the input are replaced.
     """
     text = F.coalesce(documents["text"], F.lit(""))
     base = F.array_sort(F.concat(spans_of(text, ASSIGN, 0, F.lit(8)), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2)))
-    marked = documents.withColumn("base_spans", base)
-    free = F.filter(located(text, TOKEN), lambda x: ~F.exists("base_spans", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    marked = documents.withColumn(base_spans, base)
+    free = F.filter(located(text, TOKEN), lambda x: ~F.exists(base_spans, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     random = F.transform(discovered(tested(free)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     more = F.when(text.rlike(TOKEN), random.cast(SPAN)).otherwise(F.array().cast(SPAN))
-    return marked.withColumn("all_spans", F.array_sort(F.concat("base_spans", more)))
+    return marked.withColumn(all_spans, F.array_sort(F.concat(base_spans, more)))
 
 
 def joined(spans: Column) -> Column:
@@ -160,6 +162,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with each stretch of spans in text replaced by mark; null texts stay null."""
+    base, spans = unused(documents, "base_spans"), unused(documents, "all_spans")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -168,7 +171,7 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         out = F.when(apart, F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    folded = F.aggregate("all_spans", start, step)
-    found = with_spans(documents).withColumn("all_spans", F.coalesce("all_spans", F.array().cast(SPAN)))
-    clean = F.when(F.size("all_spans") > 0, F.concat(folded["out"], text.substr(folded["at"] + 1, F.char_length(text)))).otherwise(text)
-    return found.withColumn("text", clean).drop("base_spans", "all_spans")
+    found = with_spans(documents, base, spans)
+    folded = F.aggregate(spans, start, step)
+    clean = F.when(F.size(spans) > 0, F.concat(folded["out"], text.substr(folded["at"] + 1, F.char_length(text)))).otherwise(text)
+    return found.withColumn("text", clean).drop(base, spans)

@@ -278,8 +278,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     ids = checkpointed(changed.select("doc_id").distinct())
     ids = F.broadcast(ids) if ids.count() <= 1 << 20 else ids
     same = documents.join(ids, "doc_id", "left_anti")
-    touched = documents.join(ids, "doc_id", "left_semi").withColumn("_key", F.xxhash64("text")).alias("d")
-    fits = (F.col("d.doc_id") == F.col("c.doc_id")) & F.coalesce(F.col("d._key") == F.col("c.text_key"), F.lit(True))
+    touched = documents.join(ids, "doc_id", "left_semi").alias("d")
+    fits = (F.col("d.doc_id") == F.col("c.doc_id")) & F.coalesce(F.xxhash64("d.text") == F.col("c.text_key"), F.lit(True))
     new = touched.join(changed.alias("c"), fits, "left")
     columns = [F.coalesce("c.kept_text", "d.text").alias("text") if c == "text" else F.col(f"d.{c}").alias(c) for c in documents.columns]
     return same.unionByName(new.select(*columns))
