@@ -30,18 +30,29 @@ def seconds(ticks: Column, numerator: Column, denominator: Column) -> Column:
     return (ticks.cast("decimal(20,0)") * numerator.cast("decimal(9,0)")).cast("decimal(29,0)") / denominator.cast("decimal(9,0)")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], width: int | None = None) -> DataFrame:
     """Each left row with the values of the latest right row at or before it, by key.
 
     One union and one window instead of a range join: rows of both sides sorted together, the last right values carried on. Right rows come first at equal
-    times; of several right rows at one time one with the largest values is taken.
+    times; of several right rows at one time one with the largest values is taken. With width a key's rows are dealt out by stretches of so many ticks, and each
+    stretch starts from the last right row of those before it, so a key of very many rows is not one task's.
     """
-    names = [c for c in left.columns]
-    a = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*names).alias("_left"), F.lit(None).cast(right.select(F.struct(right_time, *values)).schema[0].dataType).alias("_right"))
+    names = list(left.columns)
     best = right.groupBy(*by, F.col(right_time).alias("_time")).agg(F.max(F.struct(right_time, *values)).alias("_right"))
-    b = best.select(*by, "_time", F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), "_right")
-    order = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where("_side = 1")
+    kind = best.schema["_right"].dataType
+    a = left.select(*by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*names).alias("_left"), F.lit(None).cast(kind).alias("_right"))
+    none = F.lit(None).cast(a.schema["_left"].dataType).alias("_left")
+    both = a.unionByName(best.select(*by, "_time", F.lit(0).alias("_side"), none, "_right"))
+    part = list(by)
+    if width is not None:
+        both = both.withColumn("_stretch", bucket(F.col("_time"), width))
+        part = [*by, "_stretch"]
+        last = both.groupBy(*part).agg(F.max("_right").alias("_last"))  # a row for each key and stretch
+        before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.withColumn("_right", F.last("_last", ignorenulls=True).over(before)).where("_right is not null")
+        both = both.unionByName(carried.select(*by, F.col("_stretch").alias("_time"), F.lit(-1).alias("_side"), none, "_right", "_stretch"))
+    order = Window.partitionBy(*part).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where("_side = 1")
     return met.select("_left.*", *(F.col("_right")[c].alias(c) for c in [right_time, *values] if c not in names))
 
 

@@ -232,7 +232,7 @@ def q_clock_asof(spark, sf_dir):
     e = events(spark, sf_dir)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ticks")
     right = e.where("event_type = 'click'").select("user_id", F.col("ticks").alias("click_ticks"), F.col("raw").alias("click_raw"))
-    return times.as_of(left, right, ["user_id"], "ticks", "click_ticks", ["click_raw"]).select("event_id", "user_id", "click_ticks", "click_raw")
+    return times.as_of(left, right, ["user_id"], "ticks", "click_ticks", ["click_raw"], width=86_400_000_000).select("event_id", "user_id", "click_ticks", "click_raw")
 
 
 @query("""SELECT event_id, event_type, CASE
