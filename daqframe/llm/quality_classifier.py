@@ -52,14 +52,32 @@ def families(block: TextBlock) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield bucket.astype(np.int64) + (2 + k) * BUCKETS, np.minimum(block.offsets[:-1], size), np.maximum(np.minimum(block.offsets[1:] - n + 1, size), np.minimum(block.offsets[:-1], size))
 
 
-def bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row its buckets, and for each the share of the row's features."""
-    for block in blocks(column):
-        parts = list(families(block))
-        for row in range(block.rows):
-            every = np.concatenate([bucket[a[row] : b[row]] for bucket, a, b in parts])
-            ids, counts = np.unique(every, return_counts=True)
-            yield ids, counts / max(len(every), 1)
+class Bags:
+    """For each row its distinct buckets and their counts: 6 bytes a bucket, in one pair of arrays for each block of texts."""
+
+    def __init__(self, column: pa.Array):
+        self.rows: list[tuple[int, int, int, int]] = []  # block, first, one after the last, number of features
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        for block in blocks(column, limit=1 << 18):
+            parts, ids, counts, first = list(families(block)), [], [], 0
+            for row in range(block.rows):
+                every = np.concatenate([bucket[a[row] : b[row]] for bucket, a, b in parts])
+                found, count = np.unique(every.astype(np.uint32), return_counts=True)
+                ids.append(found)
+                counts.append(np.minimum(count, 65535).astype(np.uint16))
+                self.rows.append((len(self.ids), first, first + len(found), max(len(every), 1)))
+                first += len(found)
+            self.ids.append(np.concatenate(ids))
+            self.counts.append(np.concatenate(counts))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets, and the share that each has of the row's features."""
+        block, first, end, total = self.rows[row]
+        return self.ids[block][first:end], self.counts[block][first:end].astype(np.float32) / np.float32(total)
 
 
 @dataclass
@@ -97,7 +115,7 @@ def train(column: pa.Array, label: np.ndarray, dim: int = 16, epochs: int = 4, r
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (FAMILIES * BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    bag = [(ids, share.astype(np.float32)) for ids, share in bags(column)]
+    bag = Bags(column)
     steps, done = epochs * len(bag), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bag)):
