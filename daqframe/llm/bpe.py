@@ -28,8 +28,8 @@ from daqframe.llm.sampling import narrow
 NONE = np.uint32(0xFFFFFFFF)
 SLOT_BITS = 20
 WIDEST = 512
-STRETCH = 1 << 20
-CACHED = 150_000
+STRETCH = 3 << 20
+CACHED = 300_000
 
 
 class Vocabulary:
@@ -196,21 +196,24 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.ids: dict[str, str] = {}  # piece -> its ids, comma-joined
+        self.decoded: dict[str, bytes] = {}  # piece -> what its ids decode to
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them known afterwards."""
         split = [self.split(t) for t in texts]
-        distinct = set().union(*split)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [p for p in distinct if p not in self.known]
-        self.known.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])))
+        if len(self.ids) > CACHED:
+            self.ids.clear()
+            self.decoded.clear()
+        new = list(set().union(*split).difference(self.ids))
+        for piece, ids in zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])):
+            self.ids[piece] = ",".join(map(str, ids))
+            self.decoded[piece] = self.vocabulary.decode(ids)
         return split
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for split in self.pieces(texts):
-            yield [i for p in split for i in self.known[p]]
+            yield [int(i) for p in split for i in self.ids[p].split(",")]
 
 
 @lru_cache(maxsize=2)
@@ -240,21 +243,14 @@ def round_trip(documents: DataFrame, ranks_file: str, pattern: str, with_ids: bo
         own = encoder(ranks_file, pattern)
         for batch in batches:
             for first, texts in stretches(batch.column("text")):
-                count, ids_digest, decoded_digest, lists, written = [], [], [], [], {}
+                count, ids_digest, decoded_digest, lists = [], [], [], []
                 for split in own.pieces(texts):
-                    parts = []
-                    for p in split:
-                        got = written.get(p)
-                        if got is None:
-                            ids = own.known[p]
-                            got = written[p] = (",".join(map(str, ids)), own.vocabulary.decode(ids))
-                        parts.append(got)
-                    joined = ",".join([x for x, _ in parts])
+                    joined = ",".join(map(own.ids.__getitem__, split))
                     count.append(joined.count(",") + 1 if joined else 0)
                     ids_digest.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded_digest.append(hashlib.sha256(b"".join([x for _, x in parts])).hexdigest())
+                    decoded_digest.append(hashlib.sha256(b"".join(map(own.decoded.__getitem__, split))).hexdigest())
                     if with_ids:
-                        lists.append([i for p in split for i in own.known[p]])
+                        lists.append([int(i) for i in joined.split(",")] if joined else [])
                 arrays = [batch.column("doc_id").slice(first, len(texts)), pa.array(count, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(decoded_digest, pa.string())]
                 if with_ids:
                     arrays.append(pa.array(lists, pa.list_(pa.int32())))
