@@ -203,7 +203,7 @@ def early_shingles(texts: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node, pa.array(keys.view(np.int64)), pa.array(size[row])], names=["node", "shingle", "size"])
 
     every = checkpointed(texts.select("doc_id", "text").mapInArrow(run, "node long, shingle long, size long"))
-    shared = every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = checkpointed(every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     ordered = every.join(shared, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
     # shingles of one document alone come first and can match nothing: they only shift the places of the rest
     before = F.col("size") - F.size("x")
@@ -217,7 +217,7 @@ def across(early: DataFrame, s: Settings) -> DataFrame:
     Of a shingle's components the one with most nodes is never paired within itself: only the nodes outside it meet all the others.
     """
     per = early.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"))
-    mixed = checkpointed(early.join(per.where("k > 1").select("shingle", "most"), "shingle"))
+    mixed = checkpointed(early.join(checkpointed(per.where("k > 1").select("shingle", "most")), "shingle"))
     x, y = mixed.alias("x"), mixed.where("component <> most").alias("y")
     need = F.ceil((F.col("x.size") + F.col("y.size")) * s.percent / (100.0 + s.percent) - 1e-6)
     reach = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
@@ -234,7 +234,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     member = checkpointed(sets.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "node"))
     nodes = made.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("key1 is not null").select(F.col("doc_id").alias("node"), "bands", "packed")
     nodes = checkpointed(nodes)
-    bits = nodes.groupBy("node").agg(F.first("packed").alias("packed"))
+    bits = checkpointed(nodes.select("node", "packed").dropDuplicates(["node"]))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     heads = checkpointed(heads)
