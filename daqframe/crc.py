@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 POLYNOMIAL = 0x82F63B78
-SHORT = 768
+SHORT = 1024
 
 
 @lru_cache(maxsize=1)
@@ -31,7 +31,7 @@ def pair_table() -> np.ndarray:
     return state
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=512)
 def appending(zeros: int) -> np.ndarray:
     """Tables (4, 256) of what each byte of a state becomes after so many zero bytes."""
     one = np.array(byte_table(), np.uint32)
@@ -55,6 +55,12 @@ def apply_tables(tables: np.ndarray, state: np.ndarray) -> np.ndarray:
     return tables[0][state & 255] ^ tables[1][state >> np.uint32(8) & 255] ^ tables[2][state >> np.uint32(16) & 255] ^ tables[3][state >> np.uint32(24)]
 
 
+def rounded(steps: int) -> int:
+    """The next power of two, or three quarters of it: zeros in front cost little and few lengths need tables."""
+    whole = 1 << (steps - 1).bit_length()
+    return whole * 3 // 4 if whole >= 4 and steps <= whole * 3 // 4 else whole
+
+
 def crc32c(data: bytes | bytearray | memoryview) -> int:
     n = len(data)
     if n < SHORT:
@@ -62,9 +68,8 @@ def crc32c(data: bytes | bytearray | memoryview) -> int:
         for b in bytes(data):
             state = table[(state ^ b) & 255] ^ (state >> 8)
         return state ^ 0xFFFFFFFF
-    lanes = 1 << max(4, (n // 512).bit_length() - 1)
-    lanes = min(lanes, 4096)
-    steps = -(-n // (2 * lanes))
+    lanes = min(1 << (n // 12).bit_length() - 1, 4096)
+    steps = rounded(-(-n // (2 * lanes)))
     padded = np.zeros(2 * lanes * steps, np.uint8)
     padded[len(padded) - n :] = np.frombuffer(data, np.uint8)
     padded[len(padded) - n : len(padded) - n + 4] ^= 0xFF  # the initial value; zeros before it leave a zero state zero

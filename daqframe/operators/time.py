@@ -68,9 +68,10 @@ def correlated(samples: DataFrame, correlation: DataFrame, by: list[str], ticks:
     b = points.select(*by, "_time", F.lit(0).alias("_side"), none.cast(a.schema["_row"].dataType).alias("_row"), F.col("_time").cast("long").alias("_source"), F.col("_target").cast("long").alias("_target"))
     both = a.unionByName(b)
     back = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(1, Window.unboundedFollowing)
+    # what follows, seen from the end: a frame that starts at the current row would be scanned anew for every row
+    ahead = Window.partitionBy(*by).orderBy(F.col("_time").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
     pair = F.when(F.col("_source").isNotNull(), F.struct("_source", "_target"))
-    placed = both.withColumn("_low", F.last(pair, ignorenulls=True).over(back)).withColumn("_high", F.first(pair, ignorenulls=True).over(ahead)).where("_side = 1")
+    placed = both.withColumn("_low", F.last(pair, ignorenulls=True).over(back)).withColumn("_high", F.last(pair, ignorenulls=True).over(ahead)).where("_side = 1")
     x, low, high = F.col("_time"), F.col("_low"), F.col("_high")
     between = low["_target"] + F.floor((x - low["_source"]) * (high["_target"] - low["_target"]) / (high["_source"] - low["_source"])).cast("long")
     value = F.when(low.isNotNull() & high.isNotNull(), between).when(low.isNotNull(), low["_target"] + (x - low["_source"])).when(high.isNotNull(), high["_target"] - (high["_source"] - x))

@@ -40,7 +40,7 @@ from pyspark.sql.types import StructType
 
 from daqframe import wire as w
 from daqframe.schema import FileState, Registry
-from daqframe.tables import NEEDED, SCHEMA_TABLES, SCHEMAS, arrow_schema, check_order, record_batches, rows_batch
+from daqframe.tables import NEEDED, SCHEMA_TABLES, SCHEMAS, arrow_schema, check_order, file_batches, record_batches, rows_batch
 from daqframe.wire import FormatError, Limits, Record
 
 LIMIT_OPTIONS = {"maxheader": "header", "maxpayload": "payload", "maxdecoded": "decoded", "maxobjects": "objects", "maxchannels": "channels", "maxtext": "text", "maxrecords": "records"}
@@ -211,6 +211,9 @@ class DaqReader(DataSourceReader):
         return [run for path in listed(self.options.path) for run in plan(self.options, self.pruning, path)] or [Run("")]
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        yield from joined(self._read(partition))
+
+    def _read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         options = self.options
         if partition.error is not None:
             raise partition.error
@@ -460,17 +463,26 @@ def read_binary(spark: SparkSession, path: str, table: str = "samples", limits:
 
 def decoded(files: DataFrame, table: str = "samples", limits: Limits = Limits()) -> DataFrame:
     """Rows of a table from a frame of (path, content), each a whole file."""
-    import io
-
     schema = arrow_schema(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                state = FileState(limits)
-                for record in w.Walk(io.BytesIO(content.as_py()), limits):
-                    yield from record_batches(table, path, record, state.registry, limits)
-                    check_order(record, state, limits)
+                yield from joined(file_batches(table, path, content.as_py(), limits))
         yield pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, SCHEMAS[table])
+
+
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together: records of one item each would cross to the JVM one by one."""
+    kept: list[pa.RecordBatch] = []
+    n = held = 0
+    for batch in batches:
+        kept.append(batch)
+        n, held = n + batch.num_rows, held + batch.nbytes
+        if n >= rows or held >= size:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, n, held = [], 0, 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()

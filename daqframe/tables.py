@@ -170,9 +170,9 @@ def parsed(record: Record, registry: Registry, limits: Limits) -> tuple[object,
     return None, None, False
 
 
-def record_batches(table: str, path: str, record: Record, registry: Registry, limits: Limits, only: set[int] | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows that one record adds to a table."""
-    content, schema, decoded = parsed(record, registry, limits)
+def record_batches(table: str, path: str, record: Record, registry: Registry, limits: Limits, only: set[int] | None = None, known: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows that one record adds to a table; known is what parsed has already given."""
+    content, schema, decoded = known or parsed(record, registry, limits)
     if table == "records":
         yield rows_batch(table, [(path, record.offset, record.sequence, record.type, w.type_name(record.type), record.flags, record.header_size, record.version, record.payload_size, record.trailing, record.header, record.payload, decoded)])
     elif table == "samples" and record.type == w.DATA and decoded:
@@ -193,18 +193,22 @@ def record_batches(table: str, path: str, record: Record, registry: Registry, li
         yield rows_batch(table, schema_rows(table, path, record.sequence, content))
 
 
-def check_order(record: Record, state: FileState, limits: Limits) -> None:
-    """One record's content and its place among the earlier ones."""
-    content, _, _ = parsed(record, state.registry, limits)
-    state.see(record, head=content if record.type == w.DATA else None, blob=content if record.type == w.BLOB else None)
+def check_order(record: Record, state: FileState, limits: Limits) -> tuple[object, Schema | None, bool]:
+    """One record's content, once it and its place among the earlier ones are sound."""
+    known = parsed(record, state.registry, limits)
+    state.see(record, head=known[0] if record.type == w.DATA else None, blob=known[0] if record.type == w.BLOB else None)
+    return known
 
 
-def decode_bytes(data: bytes, table: str = "samples", path: str = "memory", limits: Limits = Limits()) -> pa.Table:
-    """All rows of a table from a whole file in memory; the first error is raised."""
+def file_batches(table: str, path: str, data: bytes, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The rows of a whole file in memory; the first error is raised."""
     import io
 
-    state, batches = FileState(limits), []
+    state = FileState(limits)
     for record in w.Walk(io.BytesIO(data), limits):
-        batches += record_batches(table, path, record, state.registry, limits)
-        check_order(record, state, limits)
-    return pa.Table.from_batches(batches, arrow_schema(table))
+        yield from record_batches(table, path, record, state.registry, limits, known=check_order(record, state, limits))
+
+
+def decode_bytes(data: bytes, table: str = "samples", path: str = "memory", limits: Limits = Limits()) -> pa.Table:
+    """All rows of a table from a whole file in memory; the first error is raised."""
+    return pa.Table.from_batches(file_batches(table, path, data, limits), arrow_schema(table))
