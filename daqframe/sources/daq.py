@@ -384,41 +384,57 @@ class DaqWriter(DataSourceArrowWriter):
 
 
 class DaqStreamReader(DataSourceStreamReader):
-    """Tails files that grow. The offset holds, for each file, the byte after its last complete record; an incomplete tail waits for more bytes."""
+    """Tails files that grow. The offset holds, for each file, the byte after its last complete record; an incomplete tail waits for more bytes.
+
+    How far each file was walked, and the schemas met there, are kept between triggers, so a trigger reads new headers only; after a restart the
+    first one walks from the start.
+    """
 
     def __init__(self, options: Options):
         self.options = options
+        self.walked: dict[str, int] = {}
+        self.schemas: dict[str, list[tuple[int, int, bytes, bytes]]] = {}  # offset, sequence, header, payload
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def latestOffset(self) -> dict:
+    def _walk(self, path: str) -> None:
+        """Takes note of the schemas and the end of the complete records that are there by now."""
         fs, _ = store(self.options.path)
-        found = {}
+        with fs.open_input_file(path) as file:
+            if file.size() < 64 or file.size() < self.walked.get(path, 0):
+                return
+            walk = w.Walk(file, self.options.limits, wanted=lambda record: record.type == w.SCHEMA, verify=self.options.verify, start=self.walked.get(path))
+            for record in walk:
+                if record.type == w.SCHEMA:
+                    self.schemas.setdefault(path, []).append((record.offset, record.sequence, record.header, record.payload))
+            self.walked[path] = walk.position
+
+    def latestOffset(self) -> dict:
         for path in listed(self.options.path):
-            with fs.open_input_file(path) as file:
-                if file.size() < 64:
-                    continue
-                walk = w.Walk(file, self.options.limits, wanted=lambda record: False, verify=False)
-                for _ in walk:
-                    pass
-                found[path] = walk.position
-        return {"files": json.dumps(found, sort_keys=True)}
+            self._walk(path)
+        return {"files": json.dumps(self.walked, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Run]:
         fs, _ = store(self.options.path)
         old, runs = json.loads(start["files"]), []
         for path, position in json.loads(end["files"]).items():
-            if position <= old.get(path, 0):
+            first = old.get(path, 0)
+            if position <= first:
                 continue
-            run = Run(path, end=position)
+            if self.walked.get(path, 0) < position:  # after a restart
+                self._walk(path)
+            schemas = [s[1:] for s in self.schemas.get(path, []) if s[0] < first]
+            run, size = Run(path, schemas=list(schemas), end=position), 0
             with fs.open_input_file(path) as file:
-                for record in w.Walk(file, self.options.limits, wanted=lambda record: record.type == w.SCHEMA, verify=False, end=position):
-                    if record.offset < old.get(path, 0):
-                        if record.type == w.SCHEMA:
-                            run.schemas.append((record.sequence, record.header, record.payload))
-                    else:
-                        run.offsets.append(record.offset)
+                for record in w.Walk(file, self.options.limits, wanted=lambda record: record.type == w.SCHEMA, verify=False, start=first or None, end=position):
+                    if size >= self.options.partition_bytes:
+                        runs.append(run)
+                        run, size = Run(path, schemas=list(schemas), end=position), 0
+                    run.offsets.append(record.offset)
+                    size += record.stored_size
+                    if record.type == w.SCHEMA:
+                        schemas.append((record.sequence, record.header, record.payload))
             runs.append(run)
         return runs
 

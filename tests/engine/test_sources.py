@@ -120,10 +120,27 @@ def test_stream_waits_for_whole_records(spark, tmp_path):
         (path / "a.daq").write_bytes(data + files.data_record(bytes.fromhex("00f0ff236145bc9a78"), 3, sequence=2).pack())
         query.processAllAvailable()
         assert spark.table(name).count() == 12
+        (path / "b.daq").write_bytes(files.minimal(True))
+        query.processAllAvailable()
+        assert spark.table(name).count() == 18
     finally:
         query.stop()
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    path, checkpoint, out = tmp_path / "in", str(tmp_path / "checkpoint"), str(tmp_path / "out")
+    path.mkdir()
+    data = files.minimal(False)
+    for grown, want in ((data, 6), (data + files.data_record(bytes.fromhex("00f0ff236145bc9a78"), 3, sequence=2).pack(), 12)):
+        (path / "a.daq").write_bytes(grown)
+        query = spark.readStream.format("daq").option("partitionBytes", "1").load(str(path)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        assert spark.read.parquet(out).count() == want
+
+
 def test_stream_order_violations(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 2, 2), (2, 5, 3), (2, 4, 4)], "stream long, item long, position long")
     rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
