@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
 from daqframe.llm import langid, quality_classifier
@@ -24,7 +25,7 @@ def test_quality_on_held_out_rows(spark, documents, odd_rows):
 
 def test_quality_score_does_not_depend_on_batches():
     texts = [t for _, t in good_and_bad(60)]
-    model = quality_classifier.train(pa.array(texts), __import__("numpy").array([int(i % 3 > 0) for i in range(60)]))
+    model = quality_classifier.train(pa.array(texts), np.array([int(i % 3 > 0) for i in range(60)]))
     one = [model.score(pa.array([t]))[0] for t in texts]
     assert one == list(model.score(pa.array(texts)))
 

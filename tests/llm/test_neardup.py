@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from daqframe.llm.neardup import Settings, near_duplicates
 from tests.llm.conftest import prose
@@ -49,7 +50,7 @@ def test_components_match_brute_force(spark, documents, odd_rows, settings):
         rows += [(1000 * (g + 1) + i, t) for i, t in enumerate(near_group(90, g))]
     rows += [(9000, rows[30][1].upper()), (9001, rows[31][1]), (None, rows[31][1]), (9002, "two words"), (9003, "Two  words"), (9004, "two")]
     random.Random(1).shuffle(rows)
-    got = {tuple(r) for r in near_duplicates(documents(rows).withColumn("component_id", __import__("pyspark.sql.functions").sql.functions.lit(1)), settings).collect()}
+    got = {tuple(r) for r in near_duplicates(documents(rows).withColumn("component_id", F.lit(1)), settings).collect()}
     assert got == brute(rows, settings.shingle, settings.percent)
 
 
