@@ -56,25 +56,35 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     return met.select("_left.*", *(F.col("_right")[c].alias(c) for c in [right_time, *values] if c not in names))
 
 
-def correlated(samples: DataFrame, correlation: DataFrame, by: list[str], ticks: str, source: str, target: str, into: str) -> DataFrame:
+def correlated(samples: DataFrame, correlation: DataFrame, by: list[str], ticks: str, source: str, target: str, into: str, width: int | None = None) -> DataFrame:
     """samples with target ticks: linear between the correlation points around them, the slope of one tick a tick before the first and after the last.
 
-    Points of a source tick met twice count once, at the largest target.
+    Points of a source tick met twice count once, at the largest target. width deals a key's rows out by stretches of so many ticks, as in as_of: each
+    stretch gets the last point before it and the first one behind it.
     """
     names = samples.columns
-    points = correlation.groupBy(*by, F.col(source).alias("_time")).agg(F.max(target).alias("_target"))
-    none = F.lit(None)
-    a = samples.select(*by, F.col(ticks).alias("_time"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), none.cast("long").alias("_source"), none.cast("long").alias("_target"))
-    b = points.select(*by, "_time", F.lit(0).alias("_side"), none.cast(a.schema["_row"].dataType).alias("_row"), F.col("_time").cast("long").alias("_source"), F.col("_target").cast("long").alias("_target"))
-    both = a.unionByName(b)
-    back = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = correlation.groupBy(*by, F.col(source).cast("long").alias("_time")).agg(F.max(target).cast("long").alias("_to"))
+    a = samples.select(*by, F.col(ticks).cast("long").alias("_time"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast("struct<_time:bigint,_to:bigint>").alias("_point"))
+    none = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
+    both = a.unionByName(points.select(*by, "_time", F.lit(0).alias("_side"), none, F.struct("_time", "_to").alias("_point")))
+    part = list(by)
+    if width is not None:
+        both = both.withColumn("_stretch", bucket(F.col("_time"), width))
+        part = [*by, "_stretch"]
+        ends = both.groupBy(*part).agg(F.max("_point").alias("_last"), F.min("_point").alias("_first"))  # a row for each key and stretch
+        earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy(*by).orderBy(F.col("_stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*part, F.last("_last", ignorenulls=True).over(earlier).alias("_low"), F.last("_first", ignorenulls=True).over(later).alias("_high"))
+        head = ends.where("_low is not null").select(*by, F.col("_stretch").alias("_time"), F.lit(-1).alias("_side"), none, F.col("_low").alias("_point"), "_stretch")
+        tail = ends.where("_high is not null").select(*by, (F.col("_stretch") + width - 1).alias("_time"), F.lit(2).alias("_side"), none, F.col("_high").alias("_point"), "_stretch")
+        both = both.unionByName(head).unionByName(tail)
+    back = Window.partitionBy(*part).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # what follows, seen from the end: a frame that starts at the current row would be scanned anew for every row
-    ahead = Window.partitionBy(*by).orderBy(F.col("_time").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    pair = F.when(F.col("_source").isNotNull(), F.struct("_source", "_target"))
-    placed = both.withColumn("_low", F.last(pair, ignorenulls=True).over(back)).withColumn("_high", F.last(pair, ignorenulls=True).over(ahead)).where("_side = 1")
+    ahead = Window.partitionBy(*part).orderBy(F.col("_time").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("_low", F.last("_point", ignorenulls=True).over(back)).withColumn("_high", F.last("_point", ignorenulls=True).over(ahead)).where("_side = 1")
     x, low, high = F.col("_time"), F.col("_low"), F.col("_high")
-    between = low["_target"] + F.floor((x - low["_source"]) * (high["_target"] - low["_target"]) / (high["_source"] - low["_source"])).cast("long")
-    value = F.when(low.isNotNull() & high.isNotNull(), between).when(low.isNotNull(), low["_target"] + (x - low["_source"])).when(high.isNotNull(), high["_target"] - (high["_source"] - x))
+    between = low["_to"] + F.floor((x - low["_time"]) * (high["_to"] - low["_to"]) / (high["_time"] - low["_time"])).cast("long")
+    value = F.when(low.isNotNull() & high.isNotNull(), between).when(low.isNotNull(), low["_to"] + (x - low["_time"])).when(high.isNotNull(), high["_to"] - (high["_time"] - x))
     return placed.select("_row.*", value.alias(into))
 
 

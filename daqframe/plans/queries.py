@@ -245,7 +245,7 @@ def q_clock_asof(spark, sf_dir):
 def q_clock_interpolation(spark, sf_dir):
     e = events(spark, sf_dir)
     points = e.where("event_id % 10 = 0").select("event_type", F.col("event_id").alias("source"), F.col("ticks").alias("target"))
-    return times.correlated(e.select("event_id", "event_type"), points, ["event_type"], "event_id", "source", "target", "target_ticks")
+    return times.correlated(e.select("event_id", "event_type"), points, ["event_type"], "event_id", "source", "target", "target_ticks", width=1024)
 
 
 @query("SELECT event_type, epoch_us(ts) - epoch_us(ts) % 3600000000 AS bucket, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")

@@ -28,10 +28,11 @@ def test_periodic_time_is_exact_and_guarded(spark):
         spark.createDataFrame([(4, 2**62, 1)], "n long, num long, den long").select(times.periodic_time(F.lit(5).cast("long"), F.col("n"), F.col("num"), F.col("den"))).collect()
 
 
-def test_correlation_ends(spark):
+@pytest.mark.parametrize("width", [None, 1, 4, 1000])
+def test_correlation_ends(spark, width):
     samples = spark.createDataFrame([("c", t) for t in (0, 10, 15, 20, 30)], "k string, t long")
     points = spark.createDataFrame([("c", 10, 1000), ("c", 20, 1100)], "k string, s long, d long")
-    got = {r.t: r.x for r in times.correlated(samples, points, ["k"], "t", "s", "d", "x").collect()}
+    got = {r.t: r.x for r in times.correlated(samples, points, ["k"], "t", "s", "d", "x", width).collect()}
     assert got == {0: 990, 10: 1000, 15: 1050, 20: 1100, 30: 1110}
 
 
