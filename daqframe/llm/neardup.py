@@ -250,7 +250,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     labels = components(links.union(same))
     label = F.coalesce("component", "node").alias("component")
     placed = inside.join(labels, "node", "left").select("bucket", "node", label)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("bucket")
+    mixed = checkpointed(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("bucket"))
     open_nodes = checkpointed(placed.join(mixed, "bucket", "left_semi").select("node", "component").distinct())
     if open_nodes.limit(1).count():
         left = with_nodes(texts, open_nodes.select("node").distinct())
