@@ -22,6 +22,18 @@ def test_ids_equal_those_of_the_tokenizers_library(odd_rows):
     assert all(list(tokenizer(VOCABULARY).encode_to_numpy(t, disallowed_special=())) == reference.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_added_tokens_are_those_of_the_library_by_default(spark, documents):
+    reference = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n\n", "  ", "a", " don't", "é漢", "\U0001f600", "12", "<"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y"] + ["".join(rng.choices(parts, k=12)) for _ in range(300)]
+    want = {i: (*reference.encode(t, add_special_tokens=False).ids, 0) for i, t in enumerate(texts)}
+    assert want[0] == (64, 220, 50256, 275, 0)
+    got = pieces(documents(list(enumerate(texts))), VOCABULARY, with_ids=True).collect()
+    assert {r.doc_id: tuple(r.ids) for r in got} == want
+    assert all(r.length == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()) for r in got)
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps = Counter()
     opened = 0
