@@ -44,6 +44,40 @@ def test_battery_finds_random_tokens_and_leaves_text(spark, documents):
     assert all(got[100 + i] == "" for i in range(len(plain)))
 
 
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+# least share of random tokens of 32, 40 and 64 characters that is found
+RECALL = {
+    DIGITS + UPPER[:6]: (0.85, 0.9, 0.95), UPPER + "234567": (0.85, 0.9, 0.95), LOWER + DIGITS: (0.85, 0.9, 0.95), UPPER + DIGITS: (0.85, 0.9, 0.95),
+    LOWER: (0.4, 0.5, 0.75), UPPER: (0.4, 0.5, 0.75), LOWER + UPPER: (0.9, 0.93, 0.95), LOWER + UPPER + DIGITS: (0.9, 0.93, 0.95),
+}
+
+
+def test_battery_finds_random_tokens_of_each_encoding_and_length(spark, documents):
+    rng = random.Random(6)
+    tokens = [(a, i, "".join(rng.choices(a, k=n))) for a in RECALL for i, n in enumerate((32, 40, 64)) for _ in range(100)]
+    got = {r.doc_id: r.spans for r in scan(documents([(k, t) for k, (_, _, t) in enumerate(tokens)])).collect()}
+    found = {(a, i): 0 for a, i, _ in tokens}
+    for k, (a, i, t) in enumerate(tokens):
+        found[a, i] += got[k] == f"random:0:{len(t)}"
+    assert all(found[a, i] >= 100 * RECALL[a][i] for a, i in found)
+
+
+def test_battery_leaves_ordinary_tokens(spark, documents):
+    import ast
+    import email
+    import inspect
+    import tarfile
+    import urllib.request
+
+    # long names of the standard library, which the model was counted on among others, and some that it was not
+    names = {t for m in (ast, email, inspect, tarfile, urllib.request) for t in re.findall(r"[A-Za-z0-9+/_-]{20,}", inspect.getsource(m))}
+    plain = ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "MAX_BUFFER_SIZE_IN_KILOBYTES", "2024-01-15-2024-01-16-1200", "ORDER-000123-ITEM-000456", "usr/share/locale/de/LC_MESSAGES", "XMLHttpRequestEventTarget", "x86_64-pc-linux-gnu-gcc-11"]
+    rows = list(enumerate(sorted(names) + plain))
+    assert len(rows) > 50
+    wrong = [t for (_, t), r in zip(rows, sorted(scan(documents(rows)).collect(), key=lambda r: r.doc_id)) if "random" in r.spans]
+    assert wrong == []
+
+
 def test_redaction(spark, documents):
     rows = [(1, "é password: hunter2hunter2 and " + "0f" * 16 + "!"), (2, None), (3, "clean"), (4, "passwd=" + "ab" * 20)]
     got = {r.doc_id: r.text for r in redacted(documents(rows)).collect()}
