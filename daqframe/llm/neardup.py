@@ -1,12 +1,12 @@
 """Near-duplicate documents by b-bit MinHash on word shingles.
 
-1. One pass over the texts makes a sketch of each document's set of shingles: its size, a 128-bit key of the whole
-   set, band keys over groups of minima and the low bits of the minima, packed.
-2. Documents with equal sets form a class by that key, and from there on a class is one node with the smallest
-   doc_id. A group of copies of any size costs one row.
+1. One pass over the texts makes a sketch of each document: a cryptographic digest of its words, and of its set of shingles the size, a
+   128-bit key, band keys over groups of minima and the low bits of the minima, packed.
+2. Documents of the same words, by digest, and those with equal sets, brought together by key and confirmed on their words, form a class. From there
+   on a class is one node with the smallest doc_id. A group of copies of any size costs one row.
 3. Each bucket of a band links its classes to its smallest class only: as many candidates as members. The packed low bits
    give a similarity estimate, corrected for equal bits by chance, that drops candidates far below the threshold.
-   The rest are confirmed on full sets.
+   The rest are confirmed on full sets, whose shingles are compared word by word.
 4. Buckets that still hold several components may hide links between members that aren't the smallest. For
    exactly these classes an exact prefix filter follows: shingles rarest first, and two sets can only reach the threshold
    if they share a shingle at places early enough for both sizes. No group is expanded into all its pairs, none is cut.
@@ -22,8 +22,9 @@ component; an empty table gives an empty result; columns other than doc_id and t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from daqframe.llm.components import components
 from daqframe.llm.sampling import narrow
 from daqframe.llm.session import checkpointed, written
-from daqframe.llm.textblock import TextBlock, blocks, mix, rows_of, window_hashes
+from daqframe.llm.textblock import TextBlock, blocks, identified, mix, rows_of, spans_text, window_hashes
 
 
 @dataclass(frozen=True)
@@ -51,25 +52,61 @@ class Settings:
         return self.bands * self.rows
 
 
-def shingle_sets(block: TextBlock, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, sorted within each row, and each row's bounds among them."""
+@dataclass
+class ShingleSets:
+    """Distinct shingles of all rows of a block, in order of row and key; row i has those from bounds[i] to bounds[i + 1]."""
+
+    block: TextBlock
+    keys: np.ndarray
+    bounds: np.ndarray
+    word: np.ndarray  # the first word of each
+    count: np.ndarray  # its number of words
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether shingles i and j have the same words."""
+        return (self.count[i] == self.count[j]) & self.block.same_words(self.starts, self.ends, self.word[i], self.word[j], np.minimum(self.count[i], self.count[j]))
+
+    def distinct(self) -> ShingleSets:
+        """One of each shingle that a row has several times; shingles count as equal if their words are."""
+        owner = rows_of(self.bounds)
+        order = np.lexsort((self.keys, owner))
+        keys, owner, word, count = self.keys[order], owner[order], self.word[order], self.count[order]
+        sorted_ = ShingleSets(self.block, keys, self.bounds, word, count, self.starts, self.ends)
+        twin = np.flatnonzero((keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1]))
+        again = np.zeros(len(keys), bool)
+        alike = sorted_.same(twin, twin + 1)
+        again[twin[alike] + 1] = True
+        for at in twin[~alike]:  # one key for different shingles: look at all of the row that have it
+            low, high = at, at + 1
+            while low > 0 and keys[low - 1] == keys[at] and owner[low - 1] == owner[at]:
+                low -= 1
+            while high < len(keys) and keys[high] == keys[at] and owner[high] == owner[at]:
+                high += 1
+            those = np.arange(low, high)
+            number, _ = identified(keys[those], lambda i, j, t=those: sorted_.same(t[i], t[j]))
+            again[those] = True
+            again[those[np.unique(number, return_index=True)[1]]] = False
+        keep = np.flatnonzero(~again)
+        return ShingleSets(self.block, keys[keep], np.searchsorted(owner[keep], np.arange(len(self.bounds))), word[keep], count[keep], self.starts, self.ends)
+
+
+def shingle_sets(block: TextBlock, size: int) -> ShingleSets:
+    """The distinct shingles of every row; a row with fewer words than a shingle has them all as one."""
     starts, ends, bounds = block.words()
     words = block.hashes(starts, ends)
     count = np.diff(bounds)
     hashes, row = window_hashes(words, size), rows_of(bounds)
-    whole = row[: len(hashes)] == row[size - 1 :] if len(hashes) else np.zeros(0, bool)
-    keys, owner = hashes[whole], row[: len(hashes)][whole]
+    first = np.flatnonzero(row[: len(hashes)] == row[size - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+    keys, owner, long = hashes[first], row[first], np.full(len(first), size)
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         made = np.array([int(window_hashes(words[bounds[r] : bounds[r + 1]], int(count[r]))[0]) for r in short], np.uint64)
-        keys, owner = np.concatenate([keys, made]), np.concatenate([owner, short])
-    order = np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
-    if len(keys):
-        first = np.ones(len(keys), bool)
-        first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        keys, owner = keys[first], owner[first]
-    return keys, np.searchsorted(owner, np.arange(block.rows + 1))
+        keys, owner, first, long = np.concatenate([keys, made]), np.concatenate([owner, short]), np.concatenate([first, bounds[short]]), np.concatenate([long, count[short]])
+        order = np.argsort(owner, kind="stable")
+        keys, owner, first, long = keys[order], owner[order], first[order], long[order]
+    return ShingleSets(block, keys, np.searchsorted(owner, np.arange(block.rows + 1)), first, long, starts, ends).distinct()
 
 
 def sketch(keys: np.ndarray, bounds: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
@@ -113,13 +150,17 @@ def sketch(keys: np.ndarray, bounds: np.ndarray, s: Settings) -> dict[str, np.nd
 
 
 def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, size of the set, its key, band keys and packed bits; null for an empty set."""
+    """doc_id, size of the set, digest of all words, key of the set, band keys and packed bits; the last four null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
-                keys, bounds = shingle_sets(block, s.shingle)
+                sets = shingle_sets(block, s.shingle)
+                keys, bounds = sets.keys, sets.bounds
                 got = sketch(keys, bounds, s)
+                words = np.searchsorted(sets.starts, block.offsets)
+                texts = spans_text(block.spaced(sets.starts, sets.ends), words[:-1], words[1:])
+                wording = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary())
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 at = np.full(block.rows, -1)
                 at[full] = np.arange(len(full))
@@ -127,11 +168,11 @@ def sketches(documents: DataFrame, s: Settings) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * s.bands, pa.array(got["bands"].ravel()))
                 packed = pa.array([x.tobytes() for x in got["packed"]], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, block.rows), pa.array(np.diff(bounds)), *(pa.array(got[k]).take(index) for k in ("key1", "key2")), lists.take(index), packed.take(index)],
-                    names=["doc_id", "n_shingles", "key1", "key2", "bands", "packed"],
+                    [batch.column("doc_id").slice(block.first, block.rows), pa.array(np.diff(bounds)), wording, *(pa.array(got[k]).take(index) for k in ("key1", "key2")), lists.take(index), packed.take(index)],
+                    names=["doc_id", "n_shingles", "wording", "key1", "key2", "bands", "packed"],
                 )
 
-    return narrow(documents).mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, packed binary")
+    return narrow(documents).mapInArrow(run, "doc_id long, n_shingles long, wording binary, key1 long, key2 long, bands array<long>, packed binary")
 
 
 def similar_bits(packed_a: pa.Array, packed_b: pa.Array, s: Settings) -> np.ndarray:
@@ -155,13 +196,12 @@ def estimated(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
-def common(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Size of the intersection of rows 2i and 2i + 1."""
-    pair = rows_of(bounds) // 2
-    order = np.lexsort((keys, pair))
-    keys, pair = keys[order], pair[order]
-    twice = (keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])
-    return np.bincount(pair[1:][twice], minlength=(len(bounds) - 1) // 2)
+def common(sets: ShingleSets) -> np.ndarray:
+    """Size of the intersection of rows 2i and 2i + 1. Shingles are told by their words, hashes only bring them together."""
+    pair = rows_of(sets.bounds) // 2
+    number, order = identified(mix(sets.keys) ^ mix(pair.astype(np.uint64) + np.uint64(1)), lambda i, j: (pair[i] == pair[j]) & sets.same(i, j))
+    twice = order[1:][number[order[1:]] == number[order[:-1]]]
+    return np.bincount(pair[twice], minlength=(len(sets.bounds) - 1) // 2)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -177,8 +217,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 both = pa.chunked_array([rows.column("text_a"), rows.column("text_b")]).combine_chunks()
                 order = np.arange(2 * rows.num_rows).reshape(2, -1).T.ravel()
                 block = next(blocks(both.cast(pa.large_string()).take(pa.array(order)), lower=True, limit=1 << 62))
-                keys, bounds = shingle_sets(block, s.shingle)
-                shared, size = common(keys, bounds), np.diff(bounds)
+                sets = shingle_sets(block, s.shingle)
+                shared, size = common(sets), np.diff(sets.bounds)
                 union = size[::2] + size[1::2] - shared
                 yield rows.select(["a", "b"]).filter(pa.array((100 * shared >= s.percent * union) & (union > 0)))
 
@@ -197,8 +237,8 @@ def early_shingles(texts: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), lower=True):
-                keys, bounds = shingle_sets(block, s.shingle)
-                size, row = np.diff(bounds), rows_of(bounds)
+                sets = shingle_sets(block, s.shingle)
+                keys, size, row = sets.keys, np.diff(sets.bounds), rows_of(sets.bounds)
                 node = batch.column("doc_id").slice(block.first, block.rows).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([node, pa.array(keys.view(np.int64)), pa.array(size[row])], names=["node", "shingle", "size"])
 
@@ -225,13 +265,31 @@ def across(early: DataFrame, s: Settings) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def classed(sets: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, node) of every row with a set: the smallest doc_id of those with the same set.
+
+    Rows of the same words are told by a 128-bit cryptographic digest of them. The smallest rows of these classes may still have equal sets, which
+    a key over the set brings together and the words confirm.
+    """
+    # checkpointed, so the join gets two plain exchanges and a class of very many copies can be split
+    classes = checkpointed(sets.groupBy("wording", "key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")))
+    heads = classes.groupBy("key1", "key2", "n_shingles").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    alike = checkpointed(classes.join(checkpointed(heads), ["key1", "key2", "n_shingles"]).where("a < node").select("wording", "a", F.col("node").alias("b")))
+    if alike.isEmpty():
+        return checkpointed(sets.select("doc_id", "wording").join(classes.select("wording", "node"), "wording").select("doc_id", "node"))
+    pairs = alike.select("a", "b").distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    equal = checkpointed(confirmed(pairs, with_nodes(texts, nodes), replace(s, percent=100)).distinct())
+    moved = alike.join(equal, ["a", "b"]).select("wording", F.col("a").alias("first"))
+    classes = checkpointed(classes.join(moved, "wording", "left").select("wording", F.coalesce("first", "node").alias("node")))
+    return checkpointed(sets.select("doc_id", "wording").join(classes, "wording").select("doc_id", "node"))
+
+
 def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     made = checkpointed(sketches(documents, s))
     sets = made.where("key1 is not null and doc_id is not null")
-    # checkpointed, so the join gets two plain exchanges and a class of very many copies can be split
-    classes = checkpointed(sets.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")))
-    member = checkpointed(sets.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "node"))
+    member = classed(sets, narrow(documents), s)
     nodes = made.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("key1 is not null").select(F.col("doc_id").alias("node"), "bands", "packed")
     nodes = checkpointed(nodes)
     bits = checkpointed(nodes.select("node", "packed").dropDuplicates(["node"]))

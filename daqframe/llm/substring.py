@@ -9,11 +9,16 @@ For a window of words, the symbols that its own words fix, whatever stands aroun
 Of the highest level that leaves any, the longest symbol (the smallest name among equals) is the window's anchor:
 a function of the window's words alone. A window that occurs in two documents has its anchor in both.
 
-1. One pass over the texts gives each document's distinct anchors and a key of its whole word sequence.
+1. One pass over the texts gives each document's distinct anchors and a digest of its whole word sequence.
 2. Documents with equal sequences: all but the smallest doc_id are repeats as a whole. Only that one goes on.
 3. Anchors of one document alone drop out; the others go back to their documents.
-4. These documents' windows at shared anchors are keyed by a hash of their words and the anchor, and the smallest doc_id of each key is found.
-5. Words covered by a window that starts in a smaller doc_id are removed.
+4. Neighbouring windows with one anchor make a span of words. Documents with the same span: all but the smallest doc_id lose it
+   as a whole, at a row for each span.
+5. What the smallest documents' spans still share with others, at their ends, shows in their windows. The smallest doc_id of each window is found.
+6. Words covered by a window that starts in a smaller doc_id are removed.
+
+Anchors only bring candidates together. Sequences, spans and windows are told by cryptographic digests of their words (SHA-256, BLAKE2b of 128 bits),
+so no hash of symbols decides what is removed.
 
 All groupings take minima before the shuffle, so a passage that a third of all documents share costs a row per task.
 
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from daqframe.llm.sampling import narrow
 from daqframe.llm.session import checkpointed, written
-from daqframe.llm.textblock import TextBlock, blocks, mix, row_sums, rows_of, window_hashes
+from daqframe.llm.textblock import TextBlock, blocks, mix, row_sums, rows_of, spans_text
 
 WINDOW = 50
 LEVELS = 4
@@ -135,6 +140,10 @@ def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def short_digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def per_row(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each row, in order of row."""
     order = np.lexsort((values, row))
@@ -144,95 +153,128 @@ def per_row(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values[new], row[new]
 
 
-def outline(documents: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, digest of all words, key of the word sequence and distinct anchors of each document."""
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, which tells rows of one doc_id apart."""
+    return narrow(documents).withColumn("text_key", F.xxhash64("text"))
+
+
+def outline(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_key, n_words, digest of all words and distinct anchors of each row of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
-                _, _, bounds, words = block_words(block)
+                rows = batch.slice(block.first, block.rows)
+                starts, ends, bounds, words = block_words(block)
                 start, anchor = anchors(words, bounds, window)
                 values, row = per_row(anchor, rows_of(bounds)[start])
                 lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(block.rows + 1)).astype(np.int32), pa.array(values.view(np.int64)))
-                count = np.diff(bounds)
-                place = (np.arange(len(words)) - np.repeat(bounds[:-1], count)).astype(U64)
-                keys = []
-                for salt in (1, 2):
-                    total = np.zeros(len(words) + 1, U64)
-                    np.cumsum(mix(mix(words + U64(salt)) + place), out=total[1:])
-                    keys.append(pa.array(mix(total[bounds[1:]] - total[bounds[:-1]] + count.astype(U64)).view(np.int64)))
-                whole = block.data.tobytes()
-                full = pa.array([digest(b" ".join(whole[a:z].split())) for a, z in zip(block.offsets[:-1], block.offsets[1:])])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.array(count), full, *keys, lists], names=["doc_id", "n_words", "full_sha256", "key1", "key2", "anchors"])
+                full = pa.array([digest(x) for x in spans_text(block.spaced(starts, ends), bounds[:-1], bounds[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(np.diff(bounds)), full, lists], names=["doc_id", "text_key", "n_words", "full_sha256", "anchors"])
 
-    return narrow(documents).mapInArrow(run, "doc_id long, n_words long, full_sha256 string, key1 long, key2 long, anchors array<long>")
+    return texts.mapInArrow(run, "doc_id long, text_key long, n_words long, full_sha256 string, anchors array<long>")
 
 
 def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and the row of each."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).view(U64), rows_of(np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]))
+    return column.flatten().to_numpy(zero_copy_only=False), rows_of(np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]))
 
 
 def within(values: np.ndarray, row: np.ndarray, allowed: np.ndarray, allowed_row: np.ndarray) -> np.ndarray:
     """Which values are among those allowed for their row."""
     salt = mix(np.arange(max(row.max(initial=0), allowed_row.max(initial=0)) + 1, dtype=U64) + U64(9))
-    return np.isin(mix(values ^ salt[row]), mix(allowed ^ salt[allowed_row]))
+    return np.isin(mix(values ^ salt[row]), mix(allowed.view(U64) ^ salt[allowed_row]))
+
 
+SPANS = "doc_id long, text_key long, first int, count int, span binary"
 
-def shared_windows(documents: DataFrame, window: int) -> DataFrame:
-    """(doc_id, window, anchor) for the distinct windows at the anchors listed with each document."""
+
+def spans_table(rows: pa.RecordBatch, row: np.ndarray, first: np.ndarray, count: np.ndarray, texts: Iterator[bytes]) -> pa.RecordBatch:
+    owner = pa.array(row)
+    columns = [rows.column("doc_id").take(owner), rows.column("text_key").take(owner), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array([short_digest(x) for x in texts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "first", "count", "span"])
+
+
+def shared_spans(texts: DataFrame, window: int) -> DataFrame:
+    """Spans at the anchors listed with each row: count windows from the one at word first of the document, and a digest of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 rows = batch.slice(block.first, block.rows)
-                _, _, bounds, words = block_words(block)
+                starts, ends, bounds, words = block_words(block)
                 start, anchor = anchors(words, bounds, window)
                 row = rows_of(bounds)[start]
                 there = within(anchor, row, *listed(rows.column("anchors")))
                 start, anchor, row = start[there], anchor[there], row[there]
-                hashes = window_hashes(words, window)[start] if len(start) else np.zeros(0, U64)
-                order = np.lexsort((hashes, row))
-                new = np.ones(len(order), bool)
-                new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-                order = order[new]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row[order])), pa.array(hashes[order].view(np.int64)), pa.array(anchor[order].view(np.int64))], names=["doc_id", "window", "anchor"])
+                new = np.ones(len(start), bool)
+                new[1:] = (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                head = np.flatnonzero(new)
+                count = np.diff(np.append(head, len(start)))
+                first, row = start[head], row[head]
+                yield spans_table(rows, row, first - bounds[row], count, spans_text(block.spaced(starts, ends), first, first + count + window - 1))
 
-    return documents.select("doc_id", "text", "anchors").mapInArrow(run, "doc_id long, window long, anchor long")
+    return texts.select("doc_id", "text", "text_key", "anchors").mapInArrow(run, SPANS)
 
 
-def without_windows(documents: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Documents with a list of windows: what is left after their words are removed.
+def stretches(rows: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window (a word of the block) and number of windows of all that is listed with the rows."""
+    first, row = listed(rows.column("firsts"))
+    count, _ = listed(rows.column("counts"))
+    return row, bounds[row] + first, count.astype(np.int64)
 
-    with_text: also text_key, a hash of the whole text, and kept_text, null where nothing is removed.
-    """
+
+def windows_of(texts: DataFrame, window: int) -> DataFrame:
+    """Each window of the spans listed with a row, as a span of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 rows = batch.slice(block.first, block.rows)
-                starts, ends, bounds, words = block_words(block)
-                row = rows_of(bounds)
-                hashes = window_hashes(words, window)
-                start = np.flatnonzero(row[: len(hashes)] == row[window - 1 :]) if len(hashes) else np.zeros(0, np.int64)
-                hit = start[within(hashes[start], row[start], *listed(rows.column("windows")))]
-                cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, hit, 1)
-                np.add.at(cover, hit + window, -1)
+                starts, ends, bounds = block.words()
+                row, first, count = stretches(rows, bounds)
+                each = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                row = np.repeat(row, count)
+                yield spans_table(rows, row, each - bounds[row], np.ones(len(each), np.int64), spans_text(block.spaced(starts, ends), each, each + window))
+
+    return texts.select("doc_id", "text", "text_key", "firsts", "counts").mapInArrow(run, SPANS)
+
+
+def without_windows(texts: DataFrame, window: int) -> DataFrame:
+    """Rows with lists of windows: what is left after their words are removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                rows = batch.slice(block.first, block.rows)
+                starts, ends, bounds = block.words()
+                _, first, count = stretches(rows, bounds)
+                cover = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(cover, first, 1)
+                np.add.at(cover, first + count + window - 1, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 whole, left = block.data.tobytes(), []
                 for r in range(block.rows):
                     stay = bounds[r] + np.flatnonzero(~gone[bounds[r] : bounds[r + 1]])
-                    left.append(b" ".join([whole[a:z] for a, z in zip(starts[stay], ends[stay])]))
-                removed = row_sums(gone, bounds)
-                columns = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), pa.array([digest(x) for x in left])]
-                if with_text:
-                    columns += [rows.column("text_key"), pa.array([x.decode() if n else None for x, n in zip(left, removed)], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "text_key", "kept_text"][: len(columns)])
+                    left.append(b" ".join([whole[a:z] for a, z in zip(starts[stay].tolist(), ends[stay].tolist())]))
+                columns = [rows.column("doc_id"), rows.column("text_key"), pa.array(np.diff(bounds)), pa.array(row_sums(gone, bounds)), pa.array([digest(x) for x in left], pa.string()), pa.array([x.decode() for x in left], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return texts.select("doc_id", "text", "text_key", "firsts", "counts").mapInArrow(run, "doc_id long, text_key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text_key long, kept_text string" * with_text
-    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "windows").mapInArrow(run, schema)
+def at_smallest(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of spans those that a smaller doc_id has too, and the rest."""
+    low = checkpointed(spans.groupBy("span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("span", "low"))
+    met = spans.join(low, "span", "left").drop("span")
+    return met.where("doc_id > low").drop("low"), met.where("low is null or doc_id = low").drop("low")
+
+
+def per_document(spans: DataFrame) -> DataFrame:
+    """The lists of spans of each row; a document's own at most."""
+    both = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("x"))
+    return both.select("doc_id", "text_key", F.col("x.first").alias("firsts"), F.col("x.count").alias("counts"))
 
 
 EMPTY = digest(b"")
@@ -241,32 +283,33 @@ EMPTY = digest(b"")
 def repeated_passages(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row.
 
-    with_text: also kept_text, null where nothing is removed, and text_key, a hash of the whole text, null for copies as a whole.
+    with_text: also text_key, a hash of the whole text, and kept_text, null where nothing is removed.
     """
     from daqframe.llm.neardup import with_nodes
 
-    texts = narrow(documents)
+    row = ["doc_id", "text_key"]
+    texts = keyed(documents)
     made = written(outline(texts, window))
     able = made.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    copies = checkpointed(able.groupBy("key1", "key2", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    # rows of a repeated doc_id differ in what they repeat, so they go the general way
-    several = made.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    whole = able.select("doc_id", "key1", "key2", "n_words").join(copies, ["key1", "key2", "n_words"]).where("doc_id > first").select("doc_id")
-    whole = checkpointed(whole.join(several, "doc_id", "left_anti"))
-    single = able.select("doc_id", "anchors").join(whole, "doc_id", "left_anti")
-    places = single.select("doc_id", F.explode("anchors").alias("anchor"))
+    copies = checkpointed(able.groupBy("full_sha256").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"))
+    whole = checkpointed(able.select(*row, "full_sha256").join(copies, "full_sha256").where("doc_id > low").select(row).distinct())
+    single = able.select(*row, "anchors").join(whole, row, "left_anti")
+    places = single.select(*row, F.explode("anchors").alias("anchor"))
     shared = checkpointed(places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
-    wanted = written(places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    wanted = written(places.join(shared, "anchor").groupBy(row).agg(F.collect_set("anchor").alias("anchors")))
     some = written(with_nodes(texts, wanted.select(F.col("doc_id").alias("node"))))
-    windows = written(shared_windows(some.join(wanted, "doc_id"), window))
-    first = checkpointed(windows.groupBy("window", "anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "anchor", "low"))
-    hits = written(windows.join(first, ["window", "anchor"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("window").alias("windows")))
-    cut = without_windows(some.join(hits, "doc_id"), window, with_text)
-    flags = whole.withColumn("copy", F.lit(True)).unionByName(hits.select("doc_id").withColumn("copy", F.lit(False)))
-    rest = made.select("doc_id", "n_words", "full_sha256").join(flags, "doc_id", "left").where("copy is null or copy")
+    spans = written(shared_spans(some.join(wanted, row), window))
+    lost, smallest = at_smallest(spans)
+    lost, smallest = written(lost), written(per_document(smallest))
+    windows = written(windows_of(some.join(smallest, row), window))
+    more, _ = at_smallest(windows)
+    hits = written(per_document(lost.unionByName(more)))
+    cut = without_windows(some.join(hits, row), window)
+    rest = made.drop("anchors").join(hits.select(row), row, "left_anti").join(whole.withColumn("copy", F.lit(True)), row, "left")
     copy = F.coalesce("copy", F.lit(False))
-    rest = rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.col("full_sha256")).alias("kept_sha256"), F.lit(None).cast("long").alias("text_key"), F.when(copy, "").alias("kept_text"))
-    return (rest if with_text else rest.drop("text_key", "kept_text")).unionByName(cut)
+    rest = rest.select(*row, "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, EMPTY).otherwise(F.col("full_sha256")).alias("kept_sha256"), F.when(copy, "").alias("kept_text"))
+    every = rest.unionByName(cut)
+    return every if with_text else every.drop("text_key", "kept_text")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -279,7 +322,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= 1 << 20 else ids
     same = documents.join(ids, "doc_id", "left_anti")
     touched = documents.join(ids, "doc_id", "left_semi").alias("d")
-    fits = (F.col("d.doc_id") == F.col("c.doc_id")) & F.coalesce(F.xxhash64("d.text") == F.col("c.text_key"), F.lit(True))
+    fits = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.text_key"))
     new = touched.join(changed.alias("c"), fits, "left")
     columns = [F.coalesce("c.kept_text", "d.text").alias("text") if c == "text" else F.col(f"d.{c}").alias(c) for c in documents.columns]
     return same.unionByName(new.select(*columns))

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daqframe.llm.neardup import Settings, near_duplicates
+from daqframe.llm.neardup import Settings, common, near_duplicates, shingle_sets
+from daqframe.llm.textblock import TextBlock
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,3 +60,29 @@ def test_repeated_rows_and_empty_table(spark, documents):
     assert near_duplicates(documents([])).collect() == []
     got = near_duplicates(documents([(5, "same text of one row here"), (5, "same text of one row here"), (6, "other words that differ"), (6, None)])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True)]
+
+
+def thue_morse(letters, signs):
+    return "".join(signs[bin(i).count("1") & 1] for i in range(letters))
+
+
+def test_texts_made_to_collide_and_equal_sets_of_other_words(spark, documents):
+    rest = prose(3, 30, 4000).split()
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        rows += [(10 * k + 1, " ".join(rest[:2] + [thue_morse(n, "ab")])), (10 * k + 2, " ".join(rest[:2] + [thue_morse(n, "ba")])), (10 * k + 3, " ".join(thue_morse(n, "xy"))), (10 * k + 4, " ".join(thue_morse(n, "yx")))]
+    rows += [(100 + k, " ".join("one two three four five six".split() * (2 + k))) for k in range(6)] + [(110, rows[-1][1])]
+    for settings in (Settings(3, 85), Settings()):
+        got = {tuple(r) for r in near_duplicates(documents(rows), settings).collect()}
+        assert got == brute(rows, settings.shingle, settings.percent)
+
+
+def test_words_decide_where_hashes_are_equal(monkeypatch):
+    texts = ["a b c d e a b c", "a b c d x y z", "a b", "b a", "", "a  b"]
+    sound = TextBlock.hashes
+    for bits in (0, 1, 3):
+        monkeypatch.setattr(TextBlock, "hashes", lambda self, s, e, salt=0, bits=bits: sound(self, s, e, salt) & np.uint64((1 << bits) - 1))
+        sets = shingle_sets(TextBlock.of(texts), 3)
+        want = [shingles(t, 3) for t in texts]
+        assert np.diff(sets.bounds).tolist() == [len(w) for w in want]
+        assert common(sets).tolist() == [len(want[i] & want[i + 1]) for i in (0, 2, 4)]

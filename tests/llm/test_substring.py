@@ -71,3 +71,15 @@ def test_texts_without_repeats(spark, documents):
 
 def test_empty_table(spark, documents):
     assert repeated_passages(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_texts_made_to_collide(spark, documents, letters):
+    """Thue-Morse sequences and their complements have equal sums of powers for any base."""
+    bits = [bin(i).count("1") & 1 for i in range(letters)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = prose(3, 30, 4000).split()
+    rows = [(1, " ".join(rest + [one] + rest[::-1])), (2, " ".join(rest + [other] + rest[::-1])), (3, " ".join("xy"[b] for b in bits)), (4, " ".join("yx"[b] for b in bits))]
+    got = repeated_passages(documents(rows), with_text=True).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got), key=str) == brute(rows)
+    assert {r.doc_id: r.n_removed for r in got}[2] == 0
