@@ -16,14 +16,18 @@ letters without case), less that of a random character of the encoding. NULL has
 of 20 characters and more have; the p-value is the normal tail beyond them. Digits with separators alone are numbers and dates, never secrets.
 Of a document's tokens, the Benjamini-Hochberg rule at rate FDR, over all candidates that it has, keeps the share of false discoveries low.
 
-A document is one row throughout: no shuffle, no state. Positions are code points, ends are exclusive.
+A document is one row throughout: no shuffle, no state. Positions are code points, ends are exclusive. Work grows with a text's length, and but for gathering
+runs of square-root size with its tokens too, however many there are: spans and tokens meet in one sweep, and what lambdas share is evaluated once.
 
-Defined results: a null text counts as empty; a text without spans gives the hash of no bytes and an empty list; repeated rows each get a row;
+Defined results: a null text counts as empty; a text without spans gives the hash of no bytes and an empty list; tokens of equal p are found or
+left together; repeated rows each get a row; very long texts are searched as a whole;
 an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +79,55 @@ NULL = [(-0.57, 2.52, 0.02), (-0.5, 0.5, 0.153), (-0.87, 5.49, 0.047), (-1.13, 1
 LOWEST, HIGHEST = ord("+"), ord("z")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once, wherever and however often body names it. An expression in a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], element: str) -> Column:
+    """What the steps emit: step gets a state and an item, and gives the next state and an array of element.
+
+    Items are folded in runs of about the square root of their number, so that gathering copies little.
+    """
+    none = F.array().cast(f"array<{element}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        after, emitted = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], emitted.cast(f"array<{element}>")).alias("out"))
+
+    def outer(acc: Column, run: Column) -> Column:
+        done = F.aggregate(run, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def runs(every: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(every))).cast("int")
+        return let(size, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / c).cast("int")), lambda k: F.slice(every, k * c + 1, c)))
+
+    def whole(every: Column) -> Column:
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{element}>>").alias("out"))
+        return F.when(F.size(every) > 0, F.flatten(F.aggregate(runs(every), start, outer)["out"])).otherwise(none)
+
+    return let(items, whole)
+
+
+MATCH = "struct<start:int,end:int,match:string>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches, leftmost first and without overlap: structs of start, end and the matched text.
 
     The pieces between matches and the matches themselves add up to the positions.
     """
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.char_length(x["piece"])
+    def zipped(matches: Column) -> Column:
+        return F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("piece"), matches.alias("match"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        first = at + F.char_length(x["piece"])
         end = first + F.char_length(x["match"])
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array()), F.array(F.struct(first.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+        return end, F.array(F.struct(first.alias("start"), end.alias("end"), x["match"].alias("match")))
 
-    return F.coalesce(F.aggregate(both, start, step)["out"], F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    return folded(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped), F.lit(0), step, MATCH)
 
 
 def spans_of(text: Column, pattern: str, kind: int, least: Column | None = None) -> Column:
@@ -184,9 +222,38 @@ def tested(candidates: Column) -> Column:
 
 def discovered(tests: Column) -> Column:
     """The Benjamini-Hochberg rule: all with p up to the largest p that is at most FDR times its rank over the number of tests."""
-    ordered = F.array_sort(F.transform(tests, lambda x: x["p"]))
-    passing = F.filter(F.transform(ordered, lambda p, i: F.when(p <= FDR * (i + 1) / F.size(tests), p)), lambda p: p.isNotNull())
-    return F.filter(tests, lambda x: x["p"] <= F.coalesce(F.array_max(passing), F.lit(-1.0)))
+
+    def largest(every: Column) -> Column:
+        ordered = F.array_sort(F.transform(every, lambda x: x["p"]))
+        passing = F.transform(ordered, lambda p, i: F.when(p <= F.lit(FDR) * (i + 1) / F.size(every), p))
+        return F.coalesce(F.array_max(passing), F.lit(-1.0))
+
+    return let(tests, lambda every: let(largest(every), lambda limit: F.filter(every, lambda x: x["p"] <= limit)))
+
+
+def apart(tokens: Column, spans: Column) -> Column:
+    """The tokens (disjoint, in order) that no span overlaps, by one sweep over both in order of start.
+
+    A token waits until the next one: only spans that start before that can still touch it.
+    """
+    token = F.lit(len(KINDS))
+    both = F.concat(
+        F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), token.alias("kind"), x["end"].alias("end"), x["match"].alias("match"))),
+        F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("string").alias("match"))),
+        F.array(F.struct(F.lit(2**31 - 1).alias("start"), token.alias("kind"), F.lit(2**31 - 1).alias("end"), F.lit(None).cast("string").alias("match"))),
+    )
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        is_token, waiting = x["kind"] == token, state["waiting"]
+        this = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match")).cast(MATCH)
+        after = F.struct(
+            F.when(is_token, state["reach"]).otherwise(F.greatest(state["reach"], x["end"])).alias("reach"),
+            F.when(is_token & (x["start"] >= state["reach"]), this).when(~is_token & (x["start"] >= waiting["end"]), waiting).alias("waiting"),
+        )
+        return after, F.when(is_token & waiting.isNotNull(), F.array(waiting)).otherwise(F.array().cast(f"array<{MATCH}>"))
+
+    start = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(MATCH).alias("waiting"))
+    return F.when(F.size(spans) == 0, tokens).otherwise(folded(F.array_sort(both), start, step, MATCH))
 
 
 def with_spans(documents: DataFrame, base_spans: str = "base_spans", all_spans: str = "all_spans") -> DataFrame:
@@ -197,7 +264,7 @@ def with_spans(documents: DataFrame, base_spans: str = "base_spans", all_spans:
     text = F.coalesce(documents["text"], F.lit(""))
     base = F.array_sort(F.concat(spans_of(text, ASSIGN, 0, F.lit(8)), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2)))
     marked = documents.withColumn(base_spans, base)
-    free = F.filter(located(text, TOKEN), lambda x: ~F.exists(base_spans, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    free = let(located(text, TOKEN), lambda tokens: apart(tokens, F.col(base_spans)))
     random = F.transform(discovered(tested(free)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     more = F.when(text.rlike(TOKEN), random.cast(SPAN)).otherwise(F.array().cast(SPAN))
     return marked.withColumn(all_spans, F.array_sort(F.concat(base_spans, more)))
@@ -218,18 +285,29 @@ def scan(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", number(0), number(1), number(2), F.sha2(joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
 
 
+CHUNK = 256
+
+
+def cut(chunks: Column, at: Column, size: Column) -> Column:
+    """size code points from at on, of a text in chunks: a substring of the whole would count from its start each time."""
+    first = F.floor(at / CHUNK).cast("int")
+    near = F.slice(chunks, first + 1, F.floor((at + size - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(size > 0, F.array_join(near, "").substr(at % CHUNK + 1, size)).otherwise("")
+
+
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with each stretch of spans in text replaced by mark; null texts stay null."""
     base, spans = unused(documents, "base_spans"), unused(documents, "all_spans")
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        out = F.when(apart, F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def pieces(chunks: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            piece = F.concat(cut(chunks, at, x["start"] - at), F.lit(mark))
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(piece)).otherwise(F.array().cast("array<string>"))
+
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(folded(F.col(spans), F.lit(0), step, "string"), ""), let(end, lambda at: cut(chunks, at, F.char_length(text) - at)))
 
     found = with_spans(documents, base, spans)
-    folded = F.aggregate(spans, start, step)
-    clean = F.when(F.size(spans) > 0, F.concat(folded["out"], text.substr(folded["at"] + 1, F.char_length(text)))).otherwise(text)
+    clean = F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), pieces)).otherwise(text)
     return found.withColumn("text", clean).drop(base, spans)

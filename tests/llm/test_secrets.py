@@ -1,9 +1,12 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
-from daqframe.llm.secrets import redacted, scan
+from daqframe.llm.secrets import FDR, NULL, REJECT, cost_of, redacted, scan
 
 KEY = "(?:" + "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 BASE = [
@@ -83,3 +86,79 @@ def test_redaction(spark, documents):
     got = {r.doc_id: r.text for r in redacted(documents(rows)).collect()}
     assert got == {1: "é [SECRET] and [SECRET]!", 2: None, 3: "clean", 4: "[SECRET]"}
     assert scan(documents([])).collect() == []
+
+
+def plain_p(token):
+    """The battery in plain Python: 1 where a test of randomness fails."""
+    n = len(token)
+    kinds = [c.islower() and "a" or c.isupper() and "A" or c.isdigit() and "0" or "-" for c in token]
+    count = Counter(kinds)
+    if re.fullmatch("[0-9]+", token):
+        k = 10
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        k = 16
+    elif re.fullmatch("[A-Z2-7]+", token) and count["0"]:
+        k = 32
+    else:
+        k = 26 * ("a" in count) + 26 * ("A" in count) + 10 * ("0" in count) + 2 * bool(set(token) & set("+/")) + 2 * bool(set(token) & set("_-"))
+    uniform = (k * sum(c * c for c in Counter(token).values()) / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    expected = 1 - sum(c * (c - 1) for c in count.values()) / (n * (n - 1))
+    runs = (sum(a != b for a, b in zip(kinds, kinds[1:])) - (n - 1) * expected) / math.sqrt((n - 1) * expected * (1 - expected) + 0.25)
+    codes = [ord(c) for c in token]
+    mean = sum(codes) / n
+    variance = sum((c - mean) ** 2 for c in codes)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / variance * math.sqrt(n) if variance else 99.0
+    if k < 16 or uniform > REJECT or abs(runs) > REJECT or abs(serial) > REJECT:
+        return 1.0
+    middle, by_characters, between = NULL[2 * ("a" in count and "A" in count) + ("0" in count)]
+    z = (sum(float(f"{cost_of(a, b):.2f}") for a, b in zip(token, token[1:])) / (n - 1) - math.log2(k) - middle) / math.sqrt(by_characters / (n - 1) + between)
+    return 1.0 if z < 0 else math.exp(-z * z / 2) * (4 / math.sqrt(2 * math.pi)) / (3 * z + math.sqrt(z * z + 8))
+
+
+def plain_scan(text):
+    base = sorted((m.start(), k, m.end()) for k, (_, pattern, fits) in enumerate(BASE) for m in pattern.finditer(text) if fits(m))
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if not any(m.start() < z and a < m.end() for a, _, z in base)]
+    p = [plain_p(t) for _, _, t in tokens]
+    passing = [x for i, x in enumerate(sorted(p)) if x <= FDR * (i + 1) / len(p)]
+    return sorted(base + [(a, 3, z) for (a, z, _), x in zip(tokens, p) if passing and x <= passing[-1]])
+
+
+def plain_redacted(text):
+    out, at = [], 0
+    for a, _, z in plain_scan(text):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, z)
+    return "".join([*out, text[at:]])
+
+
+def many_tokens(n, seed):
+    rng = random.Random(seed)
+    odd = ["getElementByIdFromTheListOfNodes", "password=hunter2hunter2", "f" * 40, "é" * 3, "some/path/to/a/file_of_mine/x", "token: " + "Zz9" * 12, "AKIA" + "Q" * 14, "\U0001f600", "plain"]
+    return rng.choice([" ", "\n", ", "]).join(base64.b64encode(rng.randbytes(rng.randrange(15, 45))).decode().rstrip("=") if rng.random() < 0.6 else rng.choice(odd) for _ in range(n))
+
+
+def test_spans_equal_a_plain_battery(spark, documents):
+    rows = [(i, many_tokens(n, i)) for i, n in enumerate([1, 2, 3, 5, 8, 17, 60, 130, 700])] + [(100, "x" * 300 + "é" * 700 + many_tokens(90, 9)), (101, "password=" + "aB3" * 20 + "/" * 30 + " " + many_tokens(5, 3))]
+    got = {r.doc_id: r.spans for r in scan(documents(rows)).collect()}
+    assert got == {i: ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{a}:{z}" for a, k, z in plain_scan(t)) for i, t in rows}
+    assert {r.doc_id: r.text for r in redacted(documents(rows)).collect()} == {i: plain_redacted(t) for i, t in rows}
+    assert sum(s.count("random") for s in got.values()) > 300
+
+
+def test_work_grows_with_the_tokens(spark, documents):
+    def seconds(n):
+        rows = documents([(1, many_tokens(n, 5))])
+        began = time.perf_counter()
+        redacted(rows).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(100)
+    few, many = min(seconds(1000) for _ in range(2)), seconds(10000)
+    assert many < 15 * few + 2, (few, many)
+
+
+def test_plan_has_no_python(spark, documents):
+    for made in (scan(documents([(1, "x")])), redacted(documents([(1, "x")]))):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
