@@ -6,10 +6,11 @@ follow-the-regularised-leader with both an absolute and a squared penalty, so mo
 a part of the sample that training doesn't see then sets the temperature by which scores are calibrated.
 Scoring adds fixed-point weights, so it doesn't depend on how rows are batched.
 
-Training reads text and lang of documents whose crc32(doc_id as text) mod 4 is not 2, and nothing else.
+Training reads text and lang of documents whose crc32(doc_id as text) mod 4 is not 2, and nothing else. Document frequencies are counted over all of them.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows each get a row; a null
-doc_id is not held out and not learned from; an empty table gives an empty result; where no row can be learned from
+doc_id is not held out and not learned from; rows of one doc_id are each learned as their own lang, rows without one not at all; of languages with equal scores
+the first by name is predicted; very long texts are read whole, for learning only where a language has no others; an empty table gives an empty result; where no row can be learned from
 all are ``und``. Further columns are not read.
 """
 
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daqframe.llm.sampling import labelled, narrow, remainder, with_ids
-from daqframe.llm.textblock import TextBlock, blocks
+from daqframe.llm.sampling import narrow, remainder, sampled
+from daqframe.llm.textblock import TextBlock, blocks, characters, gram_hashes
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -41,20 +42,12 @@ def character_tables() -> tuple[np.ndarray, np.ndarray]:
     if not _tables:
         points = [chr(i) for i in range(0x110000)]
         lower = np.arange(0x110000, dtype=np.uint32)
-        low = [(i, ord(c.lower())) for i, c in enumerate(points[:0x2000]) if len(c.lower()) == 1]
+        low = [(i, ord(c.lower())) for i, c in enumerate(points) if len(c.lower()) == 1]
         lower[[i for i, _ in low]] = [x for _, x in low]
         _tables.extend([lower, np.fromiter((c.isalpha() for c in points), dtype=bool, count=len(points))])
     return _tables[0], _tables[1]
 
 
-def characters(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
-    """Code points, and each row's bounds among them."""
-    points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    total = np.zeros(len(block.data) + 1, np.int64)
-    np.cumsum((block.data & 0xC0) != 0x80, out=total[1:])
-    return points, total[block.offsets]
-
-
 def orders(block: TextBlock) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
     """For each order the buckets, and each row's first one and the one after its last; and which rows have a letter."""
     lower, letter = character_tables()
@@ -62,14 +55,10 @@ def orders(block: TextBlock) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndar
     seen = np.zeros(len(points) + 1, np.int64)
     np.cumsum(letter[points], out=seen[1:])
     points = lower[points]
-    out, gram = [], np.zeros(len(points), np.uint32)
-    for n in range(1, ORDERS + 1):
-        size = max(len(points) - n + 1, 0)
-        gram = (gram[:size] + points[n - 1 : n - 1 + size]) * np.uint32(2654435761)
-        gram ^= gram >> np.uint32(15)
-        bucket = (gram * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
-        first = np.minimum(bounds[:-1], size)
-        out.append((bucket.astype(np.int64) + (n - 1) * BUCKETS, first, np.maximum(np.minimum(bounds[1:] - n + 1, size), first)))
+    out = []
+    for n, gram in enumerate(gram_hashes(points, ORDERS), 1):
+        first = np.minimum(bounds[:-1], len(gram))
+        out.append(((gram >> np.uint32(32 - BITS)).astype(np.int64) + (n - 1) * BUCKETS, first, np.maximum(np.minimum(bounds[1:] - n + 1, len(gram)), first)))
     return out, seen[bounds[1:]] > seen[bounds[:-1]]
 
 
@@ -117,8 +106,11 @@ class Model:
         return names, score
 
 
-def train(column: pa.Array, label: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, absolute: float = 0.02, squared: float = 0.05, seed: int = 7) -> Model:
-    """Follow-the-regularised-leader over single documents; every fifth document of a random order is for the temperature."""
+def train(column: pa.Array, label: list[str], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, absolute: float = 0.02, squared: float = 0.05, seed: int = 7, seen: np.ndarray | None = None, total: int = 0) -> Model:
+    """Follow-the-regularised-leader over single documents; every fifth document of a random order is for the temperature.
+
+    seen: in how many of total documents each bucket occurs; without it those of the column are counted.
+    """
     languages = sorted(set(label))
     if not languages:
         return Model([], np.zeros((0, ORDERS * BUCKETS), np.int32))
@@ -127,10 +119,9 @@ def train(column: pa.Array, label: list[str], epochs: int = 3, alpha: float = 0.
     y = np.array([languages.index(x) for x in label])
     order = rng.permutation(len(bag))
     held, learn = (order[::5], np.setdiff1d(order, order[::5])) if len(bag) >= 50 else (order, order)
-    seen = np.zeros(ORDERS * BUCKETS)
-    for i in learn:
-        seen[bag[i][0]] += 1
-    idf = np.log((1 + len(learn)) / (1 + seen)) + 1
+    if seen is None:
+        seen, total = np.bincount(np.concatenate([ids for ids, _ in bag]), minlength=ORDERS * BUCKETS), len(bag)
+    idf = np.log((1 + total) / (1 + seen)) + 1
     z, n = np.zeros((ORDERS * BUCKETS, len(languages))), np.zeros((ORDERS * BUCKETS, len(languages)))
     bias = np.zeros(len(languages))
 
@@ -156,14 +147,43 @@ def train(column: pa.Array, label: list[str], epochs: int = 3, alpha: float = 0.
     return Model(languages, np.round(final.T * SCALE).astype(np.int32), bias, float(temperatures[int(np.argmin(loss))]))
 
 
-def fit(documents: DataFrame, sample_rows: int = 3000, longest: int = 1 << 17, **options) -> Model:
-    """A model from at most sample_rows documents of at most longest bytes; this bounds what the driver gets."""
-    marked = labelled(documents, "lang", sample_rows, where=remainder(F.col("doc_id"), 4) != 2)
-    if not marked:
+def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each bucket occurs, and the number of documents. A task adds up its own, at a fixed width, before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(ORDERS * BUCKETS, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for block in blocks(batch.column("text")):
+                for bucket, first, after in orders(block)[0]:
+                    for a, z in zip(first.tolist(), after.tolist()):
+                        seen[np.unique(bucket[a:z])] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["bucket", "n"])
+
+    counted = documents.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
+    seen = np.zeros(ORDERS * BUCKETS + 1, np.int64)
+    seen[bucket] = n
+    return seen[:-1], int(seen[-1])
+
+
+def fit(documents: DataFrame, sample_rows: int = 3000, longest: int = 1 << 17, sample_bytes: int = 1 << 26, most_languages: int = 256, **options) -> Model:
+    """A model of the languages that rows have, of the most frequent ones if over most_languages.
+
+    Document frequencies cover all rows that may be learned from; weights are trained on at most sample_rows of them with at most sample_bytes of text, which is
+    all that the driver gets; texts over longest bytes only where a language has no shorter ones. A row is learned as its own lang says,
+    whatever other rows of its doc_id have.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
+    rows = rows.where(F.col("label").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
+    known = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()]
+    if not known:
         return train(pa.array([], pa.string()), [])
-    rows = with_ids(documents, list(marked)).where(F.octet_length("text") <= longest).toArrow()
-    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
-    return train(rows.column("text").combine_chunks(), [str(marked[int(i)]) for i in rows.column("doc_id").to_numpy()], **options)
+    rows = rows.where(F.col("label").isin(known))
+    drawn = sampled(rows, sample_rows, longest, sample_bytes).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    seen, total = document_frequencies(rows)
+    return train(drawn.column("text").combine_chunks(), drawn.column("label").to_pylist(), seen=seen, total=total, **options)
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Supervised subword embeddings for document quality.
 
 A document is the average of learned vectors: of its words, its word pairs and its character n-grams (three and
-four bytes), each hashed to a bucket of its family. A softmax layer reads that average. Vectors and layer are
+four code points), each hashed to a bucket of its family. A softmax layer reads that average. Vectors and layer are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. Averaging and the layer are
 linear, so for scoring each bucket is reduced to the one number it adds to the logit, in fixed point: a
 document's sum then doesn't depend on how rows are batched.
@@ -9,7 +9,8 @@ document's sum then doesn't depend on how rows are batched.
 Labels are read for training only, from rows whose crc32(doc_id as text) mod 5 is not 0.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; repeated rows each get
-a row; a null doc_id is never held out; an empty table gives an empty result; without labelled rows of both kinds
+a row; a doc_id with several labels counts as the smallest, one with several texts is learned from one of them; a score at the threshold is label 1; very long texts are
+scored whole; a null doc_id is never held out; an empty table gives an empty result; without labelled rows of both kinds
 every score is 0.5. Columns other than doc_id and text are not read as features.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daqframe.llm.sampling import labelled, narrow, remainder, with_ids
-from daqframe.llm.textblock import TextBlock, blocks, mix
+from daqframe.llm.sampling import narrow, remainder, sampled, with_label
+from daqframe.llm.textblock import TextBlock, blocks, characters, gram_hashes, mix
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -42,18 +43,15 @@ def families(block: TextBlock) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     yield (words >> np.uint64(64 - BITS)).astype(np.int64), bounds[:-1], bounds[1:]
     pairs = mix(words[:-1] + words[1:] * np.uint64(3)) if len(words) else words
     yield (pairs >> np.uint64(64 - BITS)).astype(np.int64) + BUCKETS, bounds[:-1], np.maximum(bounds[1:] - 1, bounds[:-1])
-    data, gram = block.data.astype(np.uint32), None
-    for k, n in enumerate(GRAMS):
-        size = max(len(data) - n + 1, 0)
-        gram = np.zeros(size, np.uint32)
-        for j in range(n):
-            gram |= data[j : j + size] << np.uint32(8 * j)
-        bucket = ((gram * np.uint32(2654435761)) ^ (gram * np.uint32(0x85EBCA6B) >> np.uint32(13))) >> np.uint32(32 - BITS)
-        yield bucket.astype(np.int64) + (2 + k) * BUCKETS, np.minimum(block.offsets[:-1], size), np.maximum(np.minimum(block.offsets[1:] - n + 1, size), np.minimum(block.offsets[:-1], size))
+    points, bounds = characters(block)
+    for n, gram in enumerate(gram_hashes(points, max(GRAMS)), 1):
+        if n in GRAMS:
+            first = np.minimum(bounds[:-1], len(gram))
+            yield (gram >> np.uint32(32 - BITS)).astype(np.int64) + (2 + GRAMS.index(n)) * BUCKETS, first, np.maximum(np.minimum(bounds[1:] - n + 1, len(gram)), first)
 
 
 class Bags:
-    """For each row its distinct buckets and their counts: 6 bytes a bucket, in one pair of arrays for each block of texts."""
+    """For each row its distinct buckets and their counts: 8 bytes a bucket, in one pair of arrays for each block of texts."""
 
     def __init__(self, column: pa.Array):
         self.rows: list[tuple[int, int, int, int]] = []  # block, first, one after the last, number of features
@@ -65,7 +63,7 @@ class Bags:
                 every = np.concatenate([bucket[a[row] : b[row]] for bucket, a, b in parts])
                 found, count = np.unique(every.astype(np.uint32), return_counts=True)
                 ids.append(found)
-                counts.append(np.minimum(count, 65535).astype(np.uint16))
+                counts.append(count.astype(np.uint32))
                 self.rows.append((len(self.ids), first, first + len(found), max(len(every), 1)))
                 first += len(found)
             self.ids.append(np.concatenate(ids))
@@ -136,16 +134,14 @@ def train(column: pa.Array, label: np.ndarray, dim: int = 16, epochs: int = 4, r
     return Model(np.clip(np.round(add * SCALE), -(2**31) + 1, 2**31 - 1).astype(np.int32), float(bias[1] - bias[0]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 4096, longest: int = 1 << 18, **options) -> Model:
-    """A model from at most sample_rows labelled documents of at most longest bytes, none of them held out; this bounds what the driver gets."""
-    marked = labelled(labels, "quality", sample_rows, where=remainder(F.col("doc_id"), 5) != 0)
-    if not marked:
-        return Model.constant()
-    rows = with_ids(documents, list(marked)).where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).toArrow()
-    ids = rows.column("doc_id").to_numpy()
-    rows = rows.take(np.argsort(ids, kind="stable"))
-    label = np.array([int(marked[int(i)]) for i in np.sort(ids)])
-    return train(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), label, **options)
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 4096, longest: int = 1 << 18, sample_bytes: int = 1 << 26, **options) -> Model:
+    """A model from at most sample_rows labelled documents with at most sample_bytes of text, none of them held out; this bounds what the driver gets.
+
+    Texts over longest bytes are learned only where a label has no shorter ones.
+    """
+    rows = with_label(documents, labels, "quality", where=remainder(F.col("doc_id"), 5) != 0)
+    drawn = sampled(rows, sample_rows, longest, sample_bytes).toArrow().sort_by([("doc_id", "ascending")])
+    return train(drawn.column("text").combine_chunks() if len(drawn) else pa.array([], pa.string()), drawn.column("label").to_numpy(), **options)
 
 
 def score_rows(documents: DataFrame, model: Model, keep_from: float | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def narrow(documents: DataFrame) -> DataFrame:
@@ -16,19 +17,36 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def labelled(table: DataFrame, label: str, rows: int, where: Column | None = None) -> dict:
-    """Up to rows labels by doc_id: those smallest by a hash of doc_id. rows bounds what reaches the driver."""
-    chosen = table.select("doc_id", F.col(label).alias("label")).dropna()
+def sampled(rows: DataFrame, most: int, longest: int, most_bytes: int) -> DataFrame:
+    """A bounded sample of rows (doc_id, text, label) in which no label is missing: at most `most` rows of at most most_bytes of text together.
+
+    Drawn are the smallest by a hash of doc_id, one row for each doc_id and label (the smallest by a hash of its text). An eighth of the sample is kept for
+    labels in equal parts, the rest is filled as rows come. Texts over longest bytes are drawn only after a label's shorter ones, so a label that has longer ones alone
+    is still seen. Rows without doc_id or label take no part. Nothing but numbers is shuffled until the rows are chosen.
+    """
+    key = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.xxhash64("text").alias("text_key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).where("doc_id is not null and label is not null")
+    one = key.groupBy("doc_id", "label").agg(F.min(F.struct((F.col("size") > longest).alias("long"), "text_key", "size")).alias("x")).select("doc_id", "label", "x.*")
+    one = one.withColumn("pick", F.xxhash64("doc_id"))
+    nth = one.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("long", "pick", "doc_id"))).where(F.col("nth") <= most)
+    labels = max(1, one.select("label").distinct().count())
+    first = [(F.col("nth") > max(1, most // (8 * labels))), F.col("long"), F.col("pick"), F.col("doc_id"), F.col("label")]
+    chosen, left = [], most_bytes
+    for r in nth.orderBy(*first).limit(most).collect():  # at most `most` rows of numbers
+        if r["size"] <= left:
+            chosen.append((r["doc_id"], r["label"], r["text_key"]))
+            left -= r["size"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), key.schema["label"], T.StructField("text_key", T.LongType())])
+    wanted = rows.sparkSession.createDataFrame(chosen, schema)
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").withColumn("text_key", F.xxhash64("text"))
+    return found.join(F.broadcast(wanted), ["doc_id", "label", "text_key"]).groupBy("doc_id", "label", "text_key").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
+
+
+def with_label(documents: DataFrame, labels: DataFrame, label: str, where: Column | None = None) -> DataFrame:
+    """(doc_id, text, label) of the documents that labels mark. A doc_id with several labels has the smallest."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
-        chosen = chosen.where(where)
-    return {int(r[0]): r[1] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.col("label").desc()).limit(rows).collect()}
-
-
-def with_ids(documents: DataFrame, ids: list[int]) -> DataFrame:
-    """doc_id and text of the given, bounded ids."""
-    spark = documents.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    return narrow(documents).join(F.broadcast(wanted), "doc_id", "left_semi")
+        marked = marked.where(where)
+    return narrow(documents).join(marked.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id")
 
 
 def unused(table: DataFrame, name: str) -> str:

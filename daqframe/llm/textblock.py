@@ -146,6 +146,24 @@ class TextBlock:
         return bytes(self.data[self.offsets[row] : self.offsets[row + 1]]).decode("utf-8", "replace")
 
 
+def characters(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, and each row's bounds among them."""
+    points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    total = np.zeros(len(block.data) + 1, np.int64)
+    np.cumsum((block.data & 0xC0) != 0x80, out=total[1:])
+    return points, total[block.offsets]
+
+
+def gram_hashes(points: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For 1, 2 and so on up to longest the 32-bit hashes of all n-grams of code points, one starting at each that leaves room."""
+    gram = np.zeros(len(points), np.uint32)
+    for n in range(1, longest + 1):
+        size = max(len(points) - n + 1, 0)
+        gram = (gram[:size] + points[n - 1 : n - 1 + size]) * np.uint32(2654435761)
+        gram ^= gram >> np.uint32(15)
+        yield gram * np.uint32(0x85EBCA6B)
+
+
 def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[TextBlock]:
     """The column as blocks of whole rows."""
     data, offsets = string_buffers(column)
