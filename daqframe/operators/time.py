@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daqframe.operators.lanes import stretch_of, unused, with_breaks
+
 WIDE = "decimal(38,0)"
 
 
+def floor_divide(product: Column, divisor: Column) -> Column:
+    """floor(product / divisor) of whole decimals and a positive divisor, as a long; an error beyond 64 bits."""
+    whole = divisor.cast("decimal(20,0)")
+    return ((product.cast(WIDE) - F.pmod(product.cast(WIDE), whole)).cast(WIDE) / whole).cast(WIDE).cast("long")
+
+
 def periodic_time(start: Column, sample: Column, numerator: Column, denominator: Column) -> Column:
     """start + floor(sample * numerator / denominator), exact for 32-bit samples and 64-bit periods; an error where ticks leave 64 bits.
 
@@ -83,18 +91,18 @@ def correlated(samples: DataFrame, correlation: DataFrame, by: list[str], ticks:
     ahead = Window.partitionBy(*part).orderBy(F.col("_time").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
     placed = both.withColumn("_low", F.last("_point", ignorenulls=True).over(back)).withColumn("_high", F.last("_point", ignorenulls=True).over(ahead)).where("_side = 1")
     x, low, high = F.col("_time"), F.col("_low"), F.col("_high")
-    between = low["_to"] + F.floor((x - low["_time"]) * (high["_to"] - low["_to"]) / (high["_time"] - low["_time"])).cast("long")
+    # differences are longs, so their product has at most 38 digits
+    product = (x - low["_time"]).cast("decimal(19,0)") * (high["_to"] - low["_to"]).cast("decimal(19,0)")
+    between = low["_to"] + floor_divide(product, high["_time"] - low["_time"])
     value = F.when(low.isNotNull() & high.isNotNull(), between).when(low.isNotNull(), low["_to"] + (x - low["_time"])).when(high.isNotNull(), high["_to"] - (high["_time"] - x))
     return placed.select("_row.*", value.alias(into))
 
 
 def bucket(ticks: Column, width: int) -> Column:
     """The first tick of the bucket of this width; floors below zero too."""
-    return ticks - F.pmod(ticks, F.lit(width).cast("long"))
+    return stretch_of(ticks, width)
 
 
-def sessions(frame: DataFrame, by: list[str], ticks: str, gap: int) -> DataFrame:
-    """frame with session: rows of a key no more than gap apart share a number from 0."""
-    order = Window.partitionBy(*by).orderBy(ticks)
-    marked = frame.withColumn("_new", F.coalesce((F.col(ticks) - F.lag(ticks).over(order) > gap).cast("long"), F.lit(0).cast("long")))
-    return marked.withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+def sessions(frame: DataFrame, by: list[str], ticks: str, gap: int, width: int | None = None) -> DataFrame:
+    """frame with session: rows of a key no more than gap apart share a number from 0. width deals a key's rows out by stretches of so many ticks."""
+    return with_breaks(frame, ticks, lambda before, now: now - before > gap, by, [ticks], "session", width)

@@ -8,10 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, prefix: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a fresh local folder where that is unset, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a fresh local folder if the driver runs the tasks itself, as in tests; on a cluster hosts share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_path(spark: SparkSession, prefix: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from daqframe.operators.time import floor_divide
+
 
 def event_time(frame: DataFrame, ticks: str, ticks_per_second: int, into: str = "event_time") -> DataFrame:
-    """frame with a timestamp from ticks since 1970, to the microsecond."""
-    return frame.withColumn(into, F.timestamp_micros((F.col(ticks).cast("decimal(20,0)") * (1_000_000 // ticks_per_second if ticks_per_second <= 1_000_000 else 1)).cast("long")))
+    """frame with a timestamp from ticks since 1970, floored to the microsecond, exact for any rate."""
+    micros = F.col(ticks).cast("decimal(20,0)") * F.lit(1_000_000).cast("decimal(7,0)")
+    return frame.withColumn(into, F.timestamp_micros(floor_divide(micros, F.lit(ticks_per_second))))
 
 
 def tumbling(frame: DataFrame, time: str, by: list[str], value: str, width: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
