@@ -4,11 +4,13 @@ A table's hash rotates a unit vector pseudo-randomly (three rounds of random sig
 nearest of the signed axes. A row lies in one bucket of each table; a query looks into the buckets of its several nearest
 axes. Rows met there are ranked exactly, by Euclidean distance of the original vectors in double precision.
 
-How many axes a query probes is measured, not set: for a bounded sample of queries the true neighbours are found by brute force
+A hash joins the axes of as many rotations as it takes to have BUCKET rows to a bucket on average, so a query's work doesn't grow with the table. How many buckets a
+query probes is measured, not set: for a bounded sample of queries the true neighbours are found by brute force
 over all rows, and the fewest probes are taken that meet RECALL of them. So tables of any size get the same recall, and it is known.
 
-Buckets are dealt out in blocks of a bounded number of rows, and queries go to each block of a bucket: a bucket that a third of all vectors
-fall into is searched by many tasks, none of which gives back more than the nearest few per query. Queries that met fewer candidates than they could have are
+Of rows with the same vector only the k + 1 with the smallest ids can be among anyone's k nearest: the others are left out as candidates, so copies fill no bucket.
+Buckets are dealt out in blocks of a bounded number of rows, and a bucket's queries in blocks too, and each block of queries meets each of rows: a bucket that a third of all
+vectors fall into is searched by many tasks of bounded size, none of which gives back more than the nearest few per query. Queries that met fewer candidates than they could have are
 searched against all rows, block by block.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do null ids; vectors of another
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daqframe.llm.session import checkpointed, written
+from daqframe.llm.textblock import mix
 
 TABLES = 16
 BLOCK = 1024
+BUCKET = 2048
 RECALL = 0.96
 SAMPLE = 64
 
@@ -56,16 +60,41 @@ def rotated(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
-def axes(x: np.ndarray, table: int) -> np.ndarray:
-    """Signed axes of each row, nearest first: i for axis i, width + i for its opposite."""
-    y = rotated(x, table)
-    return np.argsort(np.concatenate([-y, y], axis=1), axis=1, kind="stable")
+def depth_of(rows: int, dim: int) -> int:
+    """Rotations to a hash, so that buckets have BUCKET rows on average or fewer."""
+    axes, depth = 2 << max(0, int(dim - 1).bit_length()), 1
+    while rows > BUCKET * axes**depth and depth < 4:
+        depth += 1
+    return depth
 
 
-def keys(x: np.ndarray, probes: int) -> np.ndarray:
-    """Bucket keys of each row, probes for each table. A key holds vector length, table and axis."""
-    found = [axes(x, t)[:, :probes] + (((x.shape[1] << 8) + t) << 32) for t in range(TABLES)]
-    return np.concatenate(found, axis=1).astype(np.int64) if len(x) else np.zeros((0, TABLES * probes), np.int64)
+def ranked_axes(x: np.ndarray, rotation: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest `most` signed axes of each row, nearest first (i for axis i, width + i for its opposite), and how far along them a row lies."""
+    y = rotated(x, rotation)
+    both = np.concatenate([-y, y], axis=1)
+    order = np.argsort(both, axis=1, kind="stable")[:, :most]
+    return order, np.take_along_axis(both, order, axis=1)
+
+
+def codes(x: np.ndarray, table: int, probes: int, depth: int) -> np.ndarray:
+    """The buckets of each row in a table, best first: combinations of one axis for each rotation, by the sum of their projections."""
+    width = 2 << max(0, int(x.shape[1] - 1).bit_length())
+    code, cost = ranked_axes(x, table, min(probes, width))
+    for level in range(1, depth):
+        axis, more = ranked_axes(x, table + level * TABLES, min(probes, width))
+        cost = (cost[:, :, None] + more[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * width + axis[:, None, :]).reshape(len(x), -1)
+        order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        code, cost = np.take_along_axis(code, order, axis=1), np.take_along_axis(cost, order, axis=1)
+    return code
+
+
+def keys(x: np.ndarray, probes: int, depth: int) -> np.ndarray:
+    """Bucket keys of each row, up to probes for each table. A key mixes vector length, table and bucket."""
+    if not len(x):
+        return np.zeros((0, TABLES), np.int64)
+    found = [mix(codes(x, t, probes, depth).astype(np.uint64) + mix(np.array([(x.shape[1] << 8) + t], np.uint64))).view(np.int64) for t in range(TABLES)]
+    return np.concatenate(found, axis=1)
 
 
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,17 +125,32 @@ def nearest(ids: np.ndarray, distance: np.ndarray, own: int, k: int) -> np.ndarr
 
 @dataclass
 class Meeting:
-    """Gathers the nearest few rows of each query over blocks of rows."""
+    """Gathers the nearest few rows of each query over blocks of rows.
+
+    Inner products sort out, with a margin beyond their rounding, which rows can be among the nearest; only these are measured exactly.
+    """
 
     k: int
 
     def __call__(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[int], list[float]]:
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
+        if not len(ids):
+            return out
+        with np.errstate(over="ignore"):
+            length = (rows * rows).sum(axis=1)
+        last = min(len(ids) - 1, self.k + len(ids) - len(np.unique(ids)))  # own and repeated rows may stand before the nearest
         for at in range(0, len(query_ids), 64):
-            for i, d in enumerate(distances(queries[at : at + 64], rows)):
-                best = nearest(ids, d, query_ids[at + i], self.k)
+            part = queries[at : at + 64]
+            with np.errstate(over="ignore", invalid="ignore"):
+                own = (part * part).sum(axis=1)
+                rough = own[:, None] + length - 2 * (part @ rows.T)
+            limit = np.partition(rough, last, axis=1)[:, last] + 1e-9 * (own + length.max())
+            for i, q in enumerate(part):
+                some = np.flatnonzero(rough[i] <= limit[i]) if np.isfinite(rough[i]).all() else np.arange(len(ids))
+                d = distances(q[None, :], rows[some])[0]
+                best = nearest(ids[some], d, query_ids[at + i], self.k)
                 out[0].extend([int(query_ids[at + i])] * len(best))
-                out[1].extend(ids[best].tolist())
+                out[1].extend(ids[some][best].tolist())
                 out[2].extend(d[best].tolist())
         return out
 
@@ -149,30 +193,34 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def probes_for(vectors: DataFrame, queries: DataFrame, k: int) -> int:
-    """The fewest probes by which SAMPLE queries meet RECALL of their true neighbours."""
+def probes_for(vectors: DataFrame, queries: DataFrame, k: int, depth: int, most: int = 512) -> int:
+    """The fewest probes by which SAMPLE queries meet RECALL of their true neighbours; no more than most."""
     sample = [(int(r[0]), [float(x) for x in r[1]]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     if not sample:
         return 1
     truth = brute_force(vectors, sample, k)
-    pairs = truth.join(vectors, "vec_id").select("query_id", "embedding").collect()  # SAMPLE * k rows, repeated ids aside
+    pairs = truth.join(vectors, "vec_id").select("query_id", "vec_id", "embedding").dropDuplicates(["query_id", "vec_id"]).collect()  # SAMPLE * k rows
     by_id = dict(sample)
     needed = []
     for dim in {len(v) for v in by_id.values()}:
-        rows = [(by_id[int(r[0])], [float(x) for x in r[1]]) for r in pairs if len(by_id[int(r[0])]) == dim == len(r[1])]
+        rows = [(by_id[int(r[0])], [float(x) for x in r["embedding"]]) for r in pairs if len(by_id[int(r[0])]) == dim == len(r["embedding"])]
         if rows:
             x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            needed.append(np.min([np.argmax(axes(x, t) == axes(y, t)[:, :1], axis=1) for t in range(TABLES)], axis=0) + 1)
+            places = []
+            for t in range(TABLES):
+                met = codes(x, t, most, depth) == codes(y, t, 1, depth)
+                places.append(np.where(met.any(axis=1), met.argmax(axis=1), most - 1))
+            needed.append(np.min(places, axis=0) + 1)
     return int(np.quantile(np.concatenate(needed), RECALL, method="higher")) if needed else 1
 
 
-def hashed(vectors: DataFrame, probes: int) -> DataFrame:
+def hashed(vectors: DataFrame, probes: int, depth: int) -> DataFrame:
     """vectors with keys, their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in matrices(batch.column("embedding")):
-                got = keys(x, probes)
+                got = keys(x, probes, depth)
                 lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * got.shape[1], pa.array(got.ravel()))
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), lists], names=["vec_id", "embedding", "keys"])
@@ -180,45 +228,70 @@ def hashed(vectors: DataFrame, probes: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, vectors.select("vec_id", "embedding").schema.add("keys", T.ArrayType(T.LongType())))
 
 
+def candidates(vectors: DataFrame, k: int) -> DataFrame:
+    """Of rows with the same vector the k + 1 smallest ids, each once. Rows are made distinct and ranks cut before each shuffle, so any number of copies costs a few rows a task."""
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    return vectors.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
+
+
 def usable(table: DataFrame) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
 
 
+def dealt(rows: DataFrame, id: str, vector: str, block: str, blocks: DataFrame, other: str) -> DataFrame:
+    """rows by bucket, each in one of its bucket's own blocks and in all of the other side's."""
+    exploded = rows.select(id, vector, F.explode("keys").alias("key")).join(blocks, "key")
+    mine = F.pmod(F.xxhash64(id, "key"), F.col(block)).cast("int").alias(f"{block}_at")
+    return exploded.select(id, vector, "key", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at"))
+
+
 def neighbours(table: DataFrame, every: int = 100, k: int = 10, fallback_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of each row whose vec_id is divisible by every."""
-    vectors = usable(table)
-    asking = vectors.where(F.col("vec_id") % every == 0)
-    probes = probes_for(vectors, asking, k)
-    index = written(hashed(vectors, 1))
-    queries = checkpointed(hashed(asking, probes).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "keys"))
-    sizes = index.select(F.explode("keys").alias("key")).groupBy("key").count()
-    blocks = sizes.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # a row for each table and axis
-    blocks = F.broadcast(checkpointed(blocks.join(queries.select(F.explode("keys").alias("key")).distinct(), "key")))
-    rows = index.select("vec_id", "embedding", F.explode("keys").alias("key")).join(blocks, "key").select("vec_id", "embedding", "key", F.pmod(F.xxhash64("vec_id", "key"), F.col("blocks")).cast("int").alias("block"))
-    asked = queries.select("query_id", "query", F.explode("keys").alias("key")).join(blocks, "key").select("query_id", "query", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    everyone = usable(table)
+    asking = everyone.where(F.col("vec_id") % every == 0)
+    vectors = written(candidates(everyone, k))
+    size = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    depth = depth_of(int(size[0]), int(size[1] or 1))
+    probes = probes_for(vectors, asking, k, depth)
+    index = written(hashed(vectors, 1, depth))
+    queries = checkpointed(hashed(asking, probes, depth).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "keys"))
+
+    def blocks_of(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    blocks = checkpointed(blocks_of(index, "rows").join(blocks_of(queries, "queries"), "key"))  # a row for each bucket that is asked for
+    blocks = F.broadcast(blocks) if blocks.count() <= 1 << 20 else blocks
+    rows = dealt(index, "vec_id", "embedding", "rows", blocks, "queries")
+    asked = dealt(queries, "query_id", "query", "queries", blocks, "rows")
     meet = Meeting(k)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, query_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
         if not len(ids) or not len(query_ids):
             return found_batch([])
-        return found_batch([meet(query_ids[q], x, ids[r], y) for q, x in matrices(right.column("query")) for r, y in matrices(left.column("embedding"))])
+        return found_batch([meet(query_ids[q], x, ids[r], y) for q, x in matrices(right.column("query")) for r, y in matrices(left.column("embedding")) if x.shape[1] == y.shape[1]])
 
-    found = rows.groupBy("key", "block").cogroup(asked.groupBy("key", "block")).applyInArrow(run, FOUND)
+    group = ["key", "rows_at", "queries_at"]
+    found = rows.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(run, FOUND)
     best = checkpointed(top(found, k))
 
     # who met too few: as many as could be met are k, or fewer where the rows of that length are fewer
-    ids = vectors.select("vec_id", F.size("embedding").alias("dim"))
-    most = {int(r[0]): int(r[1]) for r in ids.groupBy("dim").agg(F.least(F.count_distinct("vec_id") - 1, F.lit(k))).collect()}
+    ids = everyone.select("vec_id", F.size("embedding").alias("dim")).groupBy("dim").agg(F.least(F.count_distinct("vec_id") - 1, F.lit(k)).alias("most"))
     met = best.groupBy("query_id").count()
-    limit = F.coalesce(F.create_map(*(F.lit(x) for kv in most.items() for x in kv))[F.size("query")], F.lit(0)) if most else F.lit(0)
-    short = checkpointed(queries.join(met, "query_id", "left").where(F.coalesce("count", F.lit(0)) < limit).select("query_id", "query"))
-    more = short.count()
-    for block in range(-(-more // fallback_block)):
-        part = short.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-more // fallback_block))) == block).collect()
-        if part:
-            exact = checkpointed(brute_force(vectors, [(int(r[0]), [float(x) for x in r[1]]) for r in part], k))
-            best = best.join(exact.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
+    short = queries.select("query_id", "query", F.size("query").alias("dim")).join(ids, "dim").join(met, "query_id", "left")
+    short = checkpointed(short.where(F.coalesce("count", F.lit(0)) < F.col("most")).select("query_id", "query"))
+    parts = -(-short.count() // fallback_block)
+    exact = []
+    for part in range(parts):
+        block = short.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        if block:
+            exact.append(checkpointed(brute_force(vectors, [(int(r[0]), [float(x) for x in r[1]]) for r in block], k)))
+    if exact:
+        every_exact = exact[0]
+        for e in exact[1:]:
+            every_exact = every_exact.unionByName(e)
+        every_exact = checkpointed(every_exact)
+        best = best.join(every_exact.select("query_id").distinct(), "query_id", "left_anti").unionByName(every_exact)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 import numpy as np
 
+from daqframe.llm import ann
 from daqframe.llm.ann import hadamard, keys, neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -58,4 +59,36 @@ def test_hash_is_a_rotation():
     x = np.random.default_rng(2).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(hadamard(hadamard(x)), x)
-    assert (keys(x, 3)[:, ::3] == keys(2 * x, 1)).all()
+    for depth in (1, 2, 3):
+        assert (keys(x, 3, depth)[:, ::3] == keys(2 * x, 1, depth)).all()
+
+
+def test_hot_buckets_copies_and_deeper_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(450, 24))
+    x[:150] = x[0] * 5 + 0.05 * rng.normal(size=(150, 24))  # a third of all vectors in one direction
+    x[150:300] = x[150]  # and a third the same
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    compare(spark, [(i, v) for i, v in enumerate(x)], 30, 10, 0.9)
+    monkeypatch.setattr(ann, "BUCKET", 4)
+    assert ann.depth_of(450, 24) == 2
+    compare(spark, [(i, v) for i, v in enumerate(x)], 30, 10, 0.9)
+
+
+def test_rough_distances_lose_nothing():
+    rng = np.random.default_rng(3)
+    for scale in (1e-30, 1.0, 1e8, 1e200):
+        x = scale * (rng.normal(size=(300, 6)) * 1e-3 + 1)
+        x[50:90] = x[0]
+        ids = rng.permutation(250).tolist() + list(range(50))
+        ids = np.array(ids)
+        got = ann.Meeting(5)(ids[:70], x[:70], ids, x)
+        for n, (q, own) in enumerate(zip(x[:70], ids[:70])):
+            with np.errstate(over="ignore"):
+                near = {}
+                for i, y in zip(ids, x):
+                    if i != own:
+                        d = float(np.sqrt(((y - q) ** 2).sum()))
+                        near[int(i)] = min(d, near.get(int(i), d))
+            want = sorted((d, v) for v, d in near.items())[:5]
+            assert [(got[2][5 * n + j], got[1][5 * n + j]) for j in range(5)] == want
