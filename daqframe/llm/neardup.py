@@ -15,8 +15,11 @@
 With 24 bands of 5 minima a pair at the threshold of 0.85 is in no common bucket with probability 8e-7, at 0.8 with
 7e-5. The estimate's margin is over five standard deviations.
 
+   Shingles of very many nodes are dealt out over tasks. The estimate spares the words of pairs that only share rare shingles; of families whose members all lie
+   just below the threshold every pair is compared, over many tasks.
+
 Defined results: texts without words (null, empty) have an empty set, are linked with nothing and are kept; repeated
-rows of a doc_id count as one document; rows without a doc_id are linked with nothing and kept, with a null
+rows of a doc_id count as one document, with all their texts; documents at the threshold are linked; very long texts are taken whole; rows without a doc_id are linked with nothing and kept, with a null
 component; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
@@ -28,6 +31,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from daqframe.llm.sampling import narrow
 from daqframe.llm.session import checkpointed, written
 from daqframe.llm.textblock import TextBlock, blocks, identified, mix, rows_of, spans_text, window_hashes
 
+GROUP = 1024
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -185,14 +191,21 @@ def similar_bits(packed_a: pa.Array, packed_b: pa.Array, s: Settings) -> np.ndar
     return (equal - chance) / (1 - chance)
 
 
-def estimated(pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b, packed_a, packed_b) that the estimate leaves, without the bits."""
+def estimated(pairs: DataFrame, bits: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that the estimate leaves; nodes without bits are left to the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = similar_bits(batch.column("packed_a"), batch.column("packed_b"), s) >= s.percent / 100 - s.margin if batch.num_rows else np.zeros(0, bool)
+            near = np.ones(batch.num_rows, bool)
+            known = pa.compute.and_(batch.column("packed_a").is_valid(), batch.column("packed_b").is_valid())
+            at = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+            if len(at):
+                some = batch.take(pa.array(at))
+                near[at] = similar_bits(some.column("packed_a"), some.column("packed_b"), s) >= s.percent / 100 - s.margin
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    for side in ("b", "a"):
+        pairs = pairs.join(bits.select(F.col("node").alias(side), F.col("packed").alias(f"packed_{side}")), side)
     return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
 
 
@@ -256,12 +269,15 @@ def across(early: DataFrame, s: Settings) -> DataFrame:
 
     Of a shingle's components the one with most nodes is never paired within itself: only the nodes outside it meet all the others.
     """
-    per = early.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"))
-    mixed = checkpointed(early.join(checkpointed(per.where("k > 1").select("shingle", "most")), "shingle"))
-    x, y = mixed.alias("x"), mixed.where("component <> most").alias("y")
+    per = early.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("n"))
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    mixed = checkpointed(early.join(checkpointed(per.where("k > 1").select("shingle", "most", parts.alias("parts"))), "shingle"))
+    # a shingle of very many nodes is dealt out: each node of one side to one part, each of the other to all
+    x = mixed.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("x")
+    y = mixed.where("component <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     need = F.ceil((F.col("x.size") + F.col("y.size")) * s.percent / (100.0 + s.percent) - 1e-6)
     reach = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (reach >= need))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & (reach >= need))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -292,14 +308,15 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     member = classed(sets, narrow(documents), s)
     nodes = made.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("key1 is not null").select(F.col("doc_id").alias("node"), "bands", "packed")
     nodes = checkpointed(nodes)
-    bits = checkpointed(nodes.select("node", "packed").dropDuplicates(["node"]))
+    # a doc_id of several texts has several sketches: its pairs aren't estimated
+    bits = nodes.groupBy("node").agg(F.min("packed").alias("packed"), F.max("packed").alias("last")).select("node", F.when(F.col("packed") == F.col("last"), F.col("packed")).alias("packed"))
+    bits = checkpointed(bits)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     heads = checkpointed(heads)
     inside = checkpointed(buckets.join(heads, "bucket").distinct())
     pairs = inside.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(bits.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b").join(bits.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
-    pairs = checkpointed(estimated(pairs, s))
+    pairs = checkpointed(estimated(pairs, bits, s))
     texts = written(with_nodes(narrow(documents), inside.select("node").distinct()))
     links = checkpointed(confirmed(pairs, texts, s).distinct())
 
@@ -313,6 +330,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     if open_nodes.limit(1).count():
         left = with_nodes(texts, open_nodes.select("node").distinct())
         more = checkpointed(across(early_shingles(left, s).join(open_nodes, "node"), s))
+        more = checkpointed(estimated(more, bits, s))
         found = checkpointed(confirmed(more, texts, s).distinct())
         if found.limit(1).count():
             labels = components(links.union(same).union(found))

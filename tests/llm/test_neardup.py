@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daqframe.llm import neardup
 from daqframe.llm.neardup import Settings, common, near_duplicates, shingle_sets
 from daqframe.llm.textblock import TextBlock
 from tests.llm.conftest import prose
@@ -86,3 +87,15 @@ def test_words_decide_where_hashes_are_equal(monkeypatch):
         want = [shingles(t, 3) for t in texts]
         assert np.diff(sets.bounds).tolist() == [len(w) for w in want]
         assert common(sets).tolist() == [len(want[i] & want[i + 1]) for i in (0, 2, 4)]
+
+
+def test_many_single_documents_that_share_rare_shingles(spark, documents, monkeypatch):
+    """A family just below the threshold, with some pairs above it, none of them the first of its buckets."""
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    rng = random.Random(7)
+    base = prose(40, 60, 100000).split()
+    rows = [(i, edited(base, 0.07, rng)) for i in range(150)]
+    rows += [(1000 + i, edited(rows[3 * i][1].split(), 0.01, rng)) for i in range(30)]
+    rows += [(5, rows[170][1]), (5, prose(77, 50, 5000)), (2000, prose(77, 50, 5000) + " end")]
+    got = {tuple(r) for r in near_duplicates(documents(rows), Settings(3, 85)).collect()}
+    assert {(i, c) for i, _, c, _ in got} == {(i, c) for i, _, c, _ in brute(rows, 3, 85)}
