@@ -5,9 +5,10 @@ error; DROPTAIL ends a file before it; PERMISSIVE also lists it in the table err
 ``channels`` (ids, comma-separated), ``verifyCrc``, ``partitionBytes`` and the limits ``maxHeader``, ``maxPayload``, ``maxDecoded``,
 ``maxObjects``, ``maxChannels``, ``maxText``, ``maxRecords``.
 
-The driver walks headers only, seeking past payloads (schemas, indexes and ends are read), and deals runs of records to tasks by bytes. Filters on
-type, stream, schema, sequence and index skip records before their payload is read; they are applied again by Spark, so pruning can't change a
-result. Tasks get the schema records seen before their run.
+Files are dealt to tasks by bytes, on the driver by their sizes alone: no file is opened there. A task of a later part of a file first walks the headers
+before it, seeking past payloads but those of schemas, indexes and ends, so it knows the schemas and the order that its records must keep. Where an
+error ends a file (DROPTAIL, PERMISSIVE, table errors) each record must be read before the next counts: there a file is one task's. Filters on
+type, stream, schema, sequence and index skip records before their payload is read; they are applied again by Spark, so pruning can't change a result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import uuid as uuids
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def listed(path: str) -> list[str]:
-    """The files of a path: itself, a folder's files, or what a pattern in its last part matches."""
+def sized(path: str) -> list[tuple[str, int]]:
+    """The files of a path and their sizes: itself, a folder's files, or what a pattern in its last part matches."""
     import fnmatch
 
     fs, inner = store(path)
@@ -67,7 +68,22 @@ def listed(path: str) -> list[str]:
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(path)
         found = fs.get_file_info(pafs.FileSelector(inner, recursive=True)) if info.type == pafs.FileType.Directory else [info]
-    return sorted(f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")) and "/_temporary/" not in f.path[len(inner) :])
+
+
+def listed(path: str) -> list[str]:
+    return [f for f, _ in sized(path)]
+
+
+# records whose payload tells what others must keep to
+ORDERING = (w.SCHEMA, w.INDEX, w.END)
+
+
+def seen(record: Record, state: FileState, limits: Limits) -> None:
+    """Checks a record's place among the earlier ones by its header, and by its payload where that is an ordering one."""
+    if record.type == w.SCHEMA:
+        state.registry.add(record)
+    state.see(record, w.DataHeader.parse(record, limits) if record.type == w.DATA else None, w.BlobRecord.head(record, limits)[0] if record.type == w.BLOB else None)
 
 
 @dataclass
@@ -79,13 +95,14 @@ class Options:
     verify: bool = True
     partition_bytes: int = 64 << 20
     limits: Limits = Limits()
+    trigger_bytes: int = 1 << 62
 
     @classmethod
     def of(cls, options: dict[str, str]) -> Options:
         low = {k.lower(): v for k, v in options.items()}
         limits = Limits(**{name: int(low[key]) for key, name in LIMIT_OPTIONS.items() if key in low})
         channels = {int(x) for x in low["channels"].split(",")} if low.get("channels") else None
-        out = cls(low.get("path", ""), low.get("table", "samples"), low.get("mode", "FAILFAST").upper(), channels, low.get("verifycrc", "true").lower() != "false", int(low.get("partitionbytes", 64 << 20)), limits)
+        out = cls(low.get("path", ""), low.get("table", "samples"), low.get("mode", "FAILFAST").upper(), channels, low.get("verifycrc", "true").lower() != "false", int(low.get("partitionbytes", 64 << 20)), limits, int(low.get("maxbytespertrigger", 1 << 62)))
         if out.mode not in MODES or out.table not in SCHEMAS:
             raise ValueError(f"mode {out.mode}, table {out.table}: use one of {MODES} and of {sorted(SCHEMAS)}")
         return out
@@ -93,14 +110,12 @@ class Options:
 
 @dataclass
 class Run(InputPartition):
-    """Records of one file: schemas seen before it, offsets, and rows that the walk has already made."""
+    """The records of one file that start from byte first to byte end. Where schemas are given, the walk starts at first with these known."""
 
     path: str
-    schemas: list[tuple[int, bytes, bytes]] = field(default_factory=list)
-    offsets: list[int] = field(default_factory=list)
-    rows: list[tuple] = field(default_factory=list)
-    end: int = 0
-    error: FormatError | None = None
+    first: int = 0
+    end: int | None = None
+    schemas: list[tuple[int, bytes, bytes]] | None = None
 
 
 class Pruning:
@@ -132,70 +147,16 @@ class Pruning:
         return True
 
 
-def plan(options: Options, pruning: Pruning, path: str) -> list[Run]:
-    """Walks a file's headers and deals its records to runs."""
-    fs, _ = store(options.path)
-    table, mode, limits = options.table, options.mode, options.limits
-    schemas: list[tuple[int, bytes, bytes]] = []
-    runs, run, size = [], Run(path), 0
-    registry, error, header = Registry(limits), None, None
-    whole = mode in ("DROPTAIL", "PERMISSIVE") or table == "errors"
-    state = FileState(limits)
-    needed = NEEDED.get(table, set())
+PARTS = 256
 
-    def wanted(record: Record) -> bool:
-        return whole or record.type in (w.SCHEMA, w.INDEX, w.END, w.BLOB)
 
-    errors: list[FormatError] = []
-    with fs.open_input_file(path) as file:
-        length = file.size()
-        try:
-            walk = w.Walk(file, limits, wanted, options.verify, mode == "RECOVER")
-            header = walk.header
-            errors = walk.errors
-            for record in walk:
-                try:
-                    if whole:
-                        check_order(record, state, limits)
-                    elif mode == "FAILFAST":
-                        if record.type == w.SCHEMA:
-                            state.registry.add(record)
-                        blob = w.BlobRecord.parse(record, limits) if record.type == w.BLOB else None
-                        state.see(record, w.DataHeader.parse(record, limits) if record.type == w.DATA else None, blob)
-                    elif record.type == w.SCHEMA:
-                        registry.add(record)
-                except FormatError as e:
-                    e.offset, e.sequence = record.offset, record.sequence
-                    if mode == "RECOVER":
-                        errors.append(e)
-                        continue
-                    raise
-                if record.type == w.SCHEMA:
-                    schemas.append((record.sequence, record.header, record.payload))
-                use = table == "records" or record.type in needed or (table in SCHEMA_TABLES and record.type == w.SCHEMA)
-                if use and pruning.allows(record):
-                    if not run.offsets:
-                        run.schemas = [s for s in schemas if record.type != w.SCHEMA or s[0] != record.sequence]
-                    run.offsets.append(record.offset)
-                    run.end = record.offset + record.stored_size
-                    size += record.stored_size
-                    if size >= options.partition_bytes:
-                        runs.append(run)
-                        run, size = Run(path), 0
-        except FormatError as e:
-            error = e
-            errors.append(e)
-    if run.offsets:
-        runs.append(run)
-    if table == "files":
-        status = "ok" if error is None else error.status
-        h = header or w.FileHeader()
-        return [Run(path, rows=[(path, h.major, h.minor, None if h.created_unix_ns == w.UNKNOWN_TIME else h.created_unix_ns, h.uuid.hex(), h.size, length, status, str(error) if error else None)])]
-    if table == "errors":
-        return [Run(path, rows=[(path, e.offset, e.sequence, e.status, e.reason, str(e)) for e in errors])]
-    if error is not None and mode == "FAILFAST":
-        runs.append(Run(path, error=error))
-    return runs
+def plan(options: Options, path: str, size: int) -> list[Run]:
+    """A file in parts of at least partitionBytes, at most PARTS of them as each walks the headers before it; in one where its end depends on every record."""
+    if options.table in ("files", "errors") or options.mode in ("DROPTAIL", "PERMISSIVE"):
+        return [Run(path)]
+    step = max(options.partition_bytes, -(-size // PARTS), 1)
+    starts = range(0, max(size, 1), step)
+    return [Run(path, a, None if a + step >= size else a + step) for a in starts]
 
 
 class DaqReader(DataSourceReader):
@@ -208,34 +169,94 @@ class DaqReader(DataSourceReader):
         yield from filters  # all of them are applied again
 
     def partitions(self):
-        return [run for path in listed(self.options.path) for run in plan(self.options, self.pruning, path)] or [Run("")]
+        return [run for path, size in sized(self.options.path) for run in plan(self.options, path, size)] or [Run("")]
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        yield from joined(self._read(partition))
+        if partition.path:
+            yield from joined(self._read(partition))
 
-    def _read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        options = self.options
-        if partition.error is not None:
-            raise partition.error
-        if partition.rows:
-            yield rows_batch(options.table, partition.rows)
-        if not partition.offsets:
-            return
-        fs, _ = store(options.path)
-        registry = Registry(options.limits)
-        for sequence, header, payload in partition.schemas:
-            registry.add(Record(w.SCHEMA, 0, sequence, header, payload, payload_size=len(payload)))
-        with fs.open_input_file(partition.path) as file:
-            for offset in partition.offsets:
-                walk = w.Walk(file, options.limits, verify=options.verify, start=offset)
+    def _read(self, run: Run) -> Iterator[pa.RecordBatch]:
+        fs, _ = store(self.options.path)
+        with fs.open_input_file(run.path) as file:
+            if self.options.table in ("files", "errors"):
+                yield self._file(run.path, file)
+            elif self.options.mode in ("DROPTAIL", "PERMISSIVE"):
+                yield from self._until_error(run.path, file)
+            else:
+                yield from self._part(run, file)
+
+    def _uses(self, record: Record) -> bool:
+        table = self.options.table
+        use = table == "records" or record.type in NEEDED.get(table, ()) or (table in SCHEMA_TABLES and record.type == w.SCHEMA)
+        return use and self.pruning.allows(record)
+
+    def _checked(self, file, whole: bool, errors: list[FormatError]) -> Iterator[tuple[Record, Registry, tuple | None]]:
+        """All records of a file in order, up to the first error, which ends up in errors; whole: payloads are read and checked too."""
+        options, state = self.options, FileState(self.options.limits)
+        recover = options.mode == "RECOVER"
+        header = None
+        try:
+            walk = w.Walk(file, options.limits, lambda record: whole or record.type in ORDERING, options.verify, recover)
+            header = walk.header
+            walk.errors = errors
+            for record in walk:
                 try:
-                    record = next(iter(walk))
-                    yield from record_batches(options.table, partition.path, record, registry, options.limits, options.channels)
-                except FormatError:
-                    if options.mode == "FAILFAST":
+                    known = check_order(record, state, options.limits) if whole else seen(record, state, options.limits)
+                except FormatError as e:
+                    e.offset, e.sequence = record.offset, record.sequence
+                    if not recover:
                         raise
-                    if options.mode != "RECOVER":
-                        return
+                    errors.append(e)
+                    continue
+                yield record, state.registry, known
+        except FormatError as e:
+            errors.append(e)
+        finally:
+            self.header = header
+
+    def _file(self, path: str, file) -> pa.RecordBatch:
+        """The row of table files, or the rows of table errors."""
+        options, errors = self.options, []
+        length = file.size()
+        self.header = None
+        for _ in self._checked(file, options.table == "errors" or options.mode in ("DROPTAIL", "PERMISSIVE"), errors):
+            pass
+        if options.table == "errors":
+            return rows_batch("errors", [(path, e.offset, e.sequence, e.status, e.reason, str(e)) for e in errors])
+        error = errors[0] if errors and options.mode != "RECOVER" else None
+        h = self.header or w.FileHeader()
+        created = None if h.created_unix_ns == w.UNKNOWN_TIME else h.created_unix_ns
+        return rows_batch("files", [(path, h.major, h.minor, created, h.uuid.hex(), h.size, length, "ok" if error is None else error.status, str(error) if error else None)])
+
+    def _until_error(self, path: str, file) -> Iterator[pa.RecordBatch]:
+        options = self.options
+        for record, registry, known in self._checked(file, True, []):
+            if self._uses(record):
+                yield from record_batches(options.table, path, record, registry, options.limits, options.channels, known)
+
+    def _part(self, run: Run, file) -> Iterator[pa.RecordBatch]:
+        """Records of a part of a file; those before it are walked for what they say about schemas and order."""
+        options, limits = self.options, self.options.limits
+        recover = options.mode == "RECOVER"
+        state = FileState(limits) if run.schemas is None else None
+        registry = state.registry if state else Registry(limits)
+        for sequence, header, payload in run.schemas or ():
+            registry.add(Record(w.SCHEMA, 0, sequence, header, payload, payload_size=len(payload)))
+        walk = w.Walk(file, limits, lambda record: record.type in ORDERING, options.verify, recover, run.first if state is None else None, until=run.end)
+        for record in walk:
+            try:
+                if state is not None and not recover:
+                    seen(record, state, limits)
+                elif record.type == w.SCHEMA:
+                    registry.add(record)
+                if record.offset >= run.first and self._uses(record):
+                    if record.payload is None:
+                        walk.load(record)
+                    yield from record_batches(options.table, run.path, record, registry, limits, options.channels)
+            except FormatError as e:
+                e.offset, e.sequence = record.offset, record.sequence
+                if not recover:
+                    raise
 
 
 # --- writing ------------------------------------------------------------------------------------------------------------
@@ -386,63 +407,65 @@ class DaqWriter(DataSourceArrowWriter):
 class DaqStreamReader(DataSourceStreamReader):
     """Tails files that grow. The offset holds, for each file, the byte after its last complete record; an incomplete tail waits for more bytes.
 
-    How far each file was walked, and the schemas met there, are kept between triggers, so a trigger reads new headers only; after a restart the
-    first one walks from the start.
+    How far each file was walked, the schemas met there and where the records of the next batch start are kept between triggers, so a trigger reads new headers only,
+    once; after a restart the first one walks from the start. ``maxBytesPerTrigger`` bounds what a batch takes on.
     """
 
     def __init__(self, options: Options):
         self.options = options
         self.walked: dict[str, int] = {}
         self.schemas: dict[str, list[tuple[int, int, bytes, bytes]]] = {}  # offset, sequence, header, payload
+        self.starts: dict[str, list[int]] = {}  # of records from partitionBytes to partitionBytes, since the last commit
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
-    def _walk(self, path: str) -> None:
-        """Takes note of the schemas and the end of the complete records that are there by now."""
+    def _walk(self, path: str, most: int) -> int:
+        """Takes note of the schemas and the end of the complete records that are there by now, up to most bytes of them; gives the bytes walked."""
         fs, _ = store(self.options.path)
+        before = self.walked.get(path, 0)
         with fs.open_input_file(path) as file:
-            if file.size() < 64 or file.size() < self.walked.get(path, 0):
-                return
-            walk = w.Walk(file, self.options.limits, wanted=lambda record: record.type == w.SCHEMA, verify=self.options.verify, start=self.walked.get(path))
+            if file.size() < 64 or file.size() <= before:
+                return 0
+            walk = w.Walk(file, self.options.limits, lambda record: record.type == w.SCHEMA, self.options.verify, start=self.walked.get(path))
+            starts = self.starts.setdefault(path, [])
             for record in walk:
                 if record.type == w.SCHEMA:
                     self.schemas.setdefault(path, []).append((record.offset, record.sequence, record.header, record.payload))
-            self.walked[path] = walk.position
+                if not starts or record.offset - starts[-1] >= self.options.partition_bytes:
+                    starts.append(record.offset)
+                self.walked[path] = record.offset + record.stored_size
+                if self.walked[path] - before >= most:
+                    break
+            self.walked.setdefault(path, walk.position)
+        return self.walked[path] - before
 
     def latestOffset(self) -> dict:
+        left = self.options.trigger_bytes
         for path in listed(self.options.path):
-            self._walk(path)
+            if left > 0:
+                left -= self._walk(path, left)
         return {"files": json.dumps(self.walked, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Run]:
-        fs, _ = store(self.options.path)
         old, runs = json.loads(start["files"]), []
         for path, position in json.loads(end["files"]).items():
             first = old.get(path, 0)
             if position <= first:
                 continue
             if self.walked.get(path, 0) < position:  # after a restart
-                self._walk(path)
-            schemas = [s[1:] for s in self.schemas.get(path, []) if s[0] < first]
-            run, size = Run(path, schemas=list(schemas), end=position), 0
-            with fs.open_input_file(path) as file:
-                for record in w.Walk(file, self.options.limits, wanted=lambda record: record.type == w.SCHEMA, verify=False, start=first or None, end=position):
-                    if size >= self.options.partition_bytes:
-                        runs.append(run)
-                        run, size = Run(path, schemas=list(schemas), end=position), 0
-                    run.offsets.append(record.offset)
-                    size += record.stored_size
-                    if record.type == w.SCHEMA:
-                        schemas.append((record.sequence, record.header, record.payload))
-            runs.append(run)
+                self._walk(path, 1 << 62)
+            cuts = [first] + [a for a in self.starts.get(path, []) if first < a < position] + [position]
+            for a, z in zip(cuts, cuts[1:]):
+                runs.append(Run(path, a, z, [s[1:] for s in self.schemas.get(path, []) if s[0] < a] if a else None))
         return runs
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         yield from DaqReader(self.options).read(partition)
 
     def commit(self, end: dict) -> None:
-        pass
+        for path, position in json.loads(end["files"]).items():
+            self.starts[path] = [a for a in self.starts.get(path, []) if a >= position]
 
 
 class DaqSource(DataSource):
@@ -466,8 +489,8 @@ class DaqSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, table: str = "samples", **options) -> DataFrame:
+    """A table of the files of path. Filters reach the reader where spark.sql.python.filterPushdown.enabled is set, as register does."""
     spark.dataSource.register(DaqSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("daq").option("table", table).options(**options).load(path)
 
 

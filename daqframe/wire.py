@@ -154,11 +154,13 @@ class Walk:
 
     A file that ends inside a record ends before it; ``truncated`` then says where (truncated_final_header or truncated_final_payload).
     Anything else that is wrong raises a FormatError with the offset; with recover the walk goes on at the next sound record and
-    keeps the errors in ``errors``. Headers are read and checked always, payloads where wanted(record) says so.
+    keeps the errors in ``errors``. Headers are read and checked always, payloads where wanted(record) says so, or later by ``load``.
+    The file is taken to end at end; records that start at until or behind it aren't looked at.
     """
 
-    def __init__(self, file, limits: Limits = Limits(), wanted=lambda record: True, verify: bool = True, recover: bool = False, start: int | None = None, end: int | None = None):
+    def __init__(self, file, limits: Limits = Limits(), wanted=lambda record: True, verify: bool = True, recover: bool = False, start: int | None = None, end: int | None = None, until: int | None = None):
         self.file, self.limits, self.wanted, self.verify, self.recover = file, limits, wanted, verify, recover
+        self.until = 1 << 63 if until is None else until
         file.seek(0, 2)
         self.size = file.tell() if end is None else min(end, file.tell())
         file.seek(0)
@@ -190,20 +192,26 @@ class Walk:
         if left < record.stored_size:
             self.truncated = "truncated_final_payload"
             return None
+        self.stated = payload_crc
         if self.wanted(record):
-            record.payload = self.file.read(record.payload_size)
-            if record.trailing:
-                marker, trailer_size, version, flags, sequence, payload_crc = TRAILER.unpack(self.file.read(16))
-                require(marker == TRAILER_MARKER, "trailer_marker")
-                require((trailer_size, version, flags) == (16, 1, 0), "trailer_fields")
-                require(sequence == record.sequence, "trailer_sequence")
-            if self.verify:
-                require(crc32c(record.payload) == payload_crc, "payload_crc")
+            self.load(record)
         return record
 
+    def load(self, record: Record) -> None:
+        """Reads the payload of the record that the walk has just given."""
+        payload_crc = self.stated
+        record.payload = self._at(record.offset + record.header_size, record.payload_size)
+        if record.trailing:
+            marker, trailer_size, version, flags, sequence, payload_crc = TRAILER.unpack(self.file.read(16))
+            require(marker == TRAILER_MARKER, "trailer_marker")
+            require((trailer_size, version, flags) == (16, 1, 0), "trailer_fields")
+            require(sequence == record.sequence, "trailer_sequence")
+        if self.verify:
+            require(crc32c(record.payload) == payload_crc, "payload_crc")
+
     def __iter__(self) -> Iterator[Record]:
         count = 0
-        while self.position < self.size:
+        while self.position < min(self.size, self.until):
             try:
                 record = self._one(self.position)
                 if record is None:
@@ -476,14 +484,21 @@ class BlobRecord:
         return Record(BLOB, int(trailing), sequence, header, pack_descriptors(self.transforms) + body)
 
     @classmethod
-    def parse(cls, record: Record, limits: Limits = Limits()) -> BlobRecord:
-        from daqframe.codec import decompress
-
+    def head(cls, record: Record, limits: Limits = Limits()) -> tuple[BlobRecord, int]:
+        """What the header says, without data, and the number of transforms."""
         schema, revision, stream, reserved, index, ticks, decoded, count, reserved2 = type_header(record, BLOB_HEADER)
         require(record.flags & ~CRC_IN_TRAILER == 0, "reserved_flag")
         require(schema > 0 and revision > 0 and stream > 0 and reserved == 0 and reserved2 == bytes(7), "blob_header")
         require(decoded <= limits.decoded, "decoded_size", str(decoded), "LIMIT")
         require(count <= 1, "transform_order", f"{count} transforms")
+        return cls(None, index, schema, revision, stream, ticks, [], decoded), count
+
+    @classmethod
+    def parse(cls, record: Record, limits: Limits = Limits()) -> BlobRecord:
+        from daqframe.codec import decompress
+
+        out, count = cls.head(record, limits)
+        decoded = out.decoded_bytes
         ids, at = parse_descriptors(record.payload, count)
         require(not {1, 2, 3, 5} & set(ids), "transform_order", str(ids))
         body = record.payload[at:]
@@ -492,7 +507,8 @@ class BlobRecord:
         elif ids:
             body = None
         require(body is None or len(body) == decoded, "decoded_size")
-        return cls(body, index, schema, revision, stream, ticks, ids, decoded)
+        out.data, out.transforms = body, ids
+        return out
 
 
 def index_record(entries: list[tuple[int, int, int, int, int, int, int]], sequence: int) -> Record:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from daqframe import cli, sources, streaming, wire as w
 from daqframe.sources import export
-from daqframe.sources.daq import FileBuilder, Pruning, plan, Options
+from daqframe.sources.daq import DaqReader, FileBuilder, Options, Pruning
 from tests.engine import files
 from tests.engine.test_files import corrupt, flipped, second
 
@@ -45,7 +45,9 @@ def test_modes(spark, tmp_path):
     assert sources.read(spark, str(path), mode="RECOVER").count() == 6
     (error,) = sources.read(spark, str(path), "errors", mode="PERMISSIVE").collect()
     assert (error.reason, error.status, error.record_offset) == ("payload_crc", "FORMAT", second(two))
-    assert sources.read(spark, str(path), "files").collect()[0].status in ("ok", "FORMAT")
+    # only payloads are wrong: headers alone don't tell
+    assert sources.read(spark, str(path), "files").collect()[0].status == "ok"
+    assert sources.read(spark, str(path), "files", mode="DROPTAIL").collect()[0].status == "FORMAT"
 
 
 def test_corrupt_files_are_told(spark, tmp_path):
@@ -79,7 +81,9 @@ def test_pruning_skips_records(spark, tmp_path):
     pruning = Pruning()
     pruning.take(GreaterThanOrEqual(("sample_index",), 250))
     pruning.take(LessThan(("sample_index",), 410))
-    assert [len(r.offsets) for r in plan(Options(str(path)), pruning, str(path))] == [3]
+    reader = DaqReader(Options(str(path)))
+    reader.pruning = pruning
+    assert sum(reader._uses(record) for record in w.Walk(path.open("rb"), wanted=lambda r: False)) == 3
     got = sources.read(spark, str(path)).where("sample_index >= 250 and sample_index < 410")
     assert got.count() == 160
     assert sources.read(spark, str(path), partitionBytes="1").rdd.getNumPartitions() >= 10
@@ -89,6 +93,96 @@ def test_pruning_skips_records(spark, tmp_path):
     assert (end.total_records, end.data_records) == (13, 10)
 
 
+class Watched:
+    """A file system whose files count the bytes that are read from them."""
+
+    def __init__(self, fs):
+        self.fs, self.opened, self.bytes = fs, 0, 0
+
+    def get_file_info(self, x):
+        return self.fs.get_file_info(x)
+
+    def open_input_file(self, path):
+        self.opened += 1
+        file, outer = self.fs.open_input_file(path), self
+
+        class Counted:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *x):
+                file.close()
+
+            def read(self, n=None):
+                data = file.read(n)
+                outer.bytes += len(data)
+                return data
+
+            def __getattr__(self, name):
+                return getattr(file, name)
+
+        return Counted()
+
+
+def big_log(path, records=40, embedded=b""):
+    """Blobs of 5,000 bytes whose payloads hold a whole log file themselves, between rows of samples."""
+    from daqframe.schema import Schema
+
+    inner = files.minimal(False)
+    with path.open("wb") as out:
+        build = FileBuilder(out)
+        objects = [files.stream(1, "s", 1), files.channel(1, "x", 1, 1, 16), files.stream(2, "items", 0, 3, "x/y")]
+        build.schema(1, 1, objects)
+        channels = Schema(1, 1, objects).channels(1)
+        for i in range(records):
+            build.add(w.BlobRecord((inner + bytes([i])) * 10, i, 1, 1, 2).record(0))
+            build.table(w.DataHeader(1, 1, 1, 10, 10 * i), [np.full((10, 1), i, np.uint64)], channels, "identity")
+        build.close()
+
+
+@pytest.mark.parametrize("mode", ["FAILFAST", "DROPTAIL", "PERMISSIVE", "RECOVER"])
+def test_scan_is_dealt_to_tasks(spark, tmp_path, monkeypatch, mode):
+    """The driver opens no file; parts of a file meet every record once, whatever payloads hold."""
+    from daqframe.sources import daq
+
+    path = tmp_path / "big.daq"
+    big_log(path)
+    real = daq.store(str(path))[0]
+    for table, want in (("samples", 400), ("blobs", 40), ("records", 83), ("channels", 1), ("files", 1)):
+        options = Options(str(path), table, mode, partition_bytes=3000)
+        watched = Watched(real)
+        monkeypatch.setattr(daq, "store", lambda p: (watched, p))
+        reader = DaqReader(options)
+        runs = reader.partitions()
+        assert watched.opened == 0
+        if mode in ("FAILFAST", "RECOVER") and table != "files":
+            assert len(runs) > 20
+        assert sum(b.num_rows for r in runs for b in reader.read(r)) == want
+        if table == "channels" and mode == "FAILFAST":
+            watched.bytes = 0
+            list(reader.read(runs[-1]))
+            assert watched.bytes < 40 * 300  # headers alone
+    monkeypatch.undo()
+    got = sources.read(spark, str(path), "samples", mode=mode, partitionBytes="3000")
+    assert got.groupBy("raw").count().where("count = 10").count() == 40
+    if mode in ("FAILFAST", "RECOVER"):
+        assert got.rdd.getNumPartitions() > 20
+
+
+def test_later_parts_know_earlier_schemas_and_order(spark, tmp_path):
+    """A record out of order is told though it lies in another part than what it breaks with."""
+    path = tmp_path / "order.daq"
+    with path.open("wb") as out:
+        build = FileBuilder(out)
+        build.schema(1, 1, [files.stream(2, "items", 0, 3, "x/y")])
+        for i in (0, 1, 2, 3, 3):
+            build.add(w.BlobRecord(bytes(4000), i, 1, 1, 2).record(0))
+        build.close()
+    with pytest.raises(Exception, match="item_order"):
+        sources.read(spark, str(path), "blobs", partitionBytes="3000").count()
+    assert sources.read(spark, str(path), "blobs", mode="DROPTAIL").count() == 4
+
+
 @pytest.mark.parametrize("options", [{}, {"compression": "identity", "trailer": "true"}, {"compression": "integer", "layout": "planar", "chunk": "100"}])
 def test_writer(spark, tmp_path, options):
     rows = spark.range(1000).select((F.col("id") - 500).alias("a"), (F.col("id") % 7).cast("int").alias("b"), F.col("id").alias("time_ticks"))
@@ -141,6 +235,20 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
         assert spark.read.parquet(out).count() == want
 
 
+def test_stream_takes_a_bounded_number_of_bytes(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    big_log(path / "a.daq")
+    stream = spark.readStream.format("daq").option("maxBytesPerTrigger", "60000").option("partitionBytes", "9000").load(str(path))
+    query = stream.writeStream.format("memory").queryName("bounded").start()
+    try:
+        query.processAllAvailable()
+        assert spark.table("bounded").count() == 400
+        assert len([p for p in query.recentProgress if p.numInputRows]) >= 3
+    finally:
+        query.stop()
+
+
 def test_stream_order_violations(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 2, 2), (2, 5, 3), (2, 4, 4)], "stream long, item long, position long")
     rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
