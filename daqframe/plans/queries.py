@@ -6,6 +6,7 @@ conversations are texts, pages and documents are binary items, embeddings are ar
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -389,30 +390,138 @@ def q_schema_redefined(spark, sf_dir):
 # --- through files --------------------------------------------------------------------------------------------------------
 
 
-def through_files(rows: DataFrame, **options) -> DataFrame:
-    """rows written as log files and read back in long form."""
+def through_files(rows: DataFrame, read: str = "samples", columns: str = "", **options) -> DataFrame:
+    """rows written as log files, and a table of these."""
     from daqframe import sources
 
     spark = rows.sparkSession
     sources.register(spark)
     path = shared_path(spark, "logs")
     rows.write.format("daq").options(path=path, **options).mode("append").save()
-    return sources.read(spark, path)
+    return sources.read(spark, path, read, **({"columns": columns} if columns else {}))
 
 
 @query(f"SELECT event_id, user_id, {RAW_SQL} AS raw, epoch_us(ts) AS time_ticks FROM events")
 def q_roundtrip_rows(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "user_id", "raw", F.col("ticks").alias("time_ticks"))
-    back = through_files(e, compression="integer", layout="planar").select("path", "sample_index", "time_ticks", "channel_name", F.col("raw").cast("long").alias("raw"))
-    wide = layout.wide_form(back, ["path", "sample_index", "time_ticks"], "channel_name", "raw", ["event_id", "user_id", "raw"])
-    return wide.select("event_id", "user_id", "raw", "time_ticks")
+    back = through_files(e, "wide", "event_id long, user_id long, raw long", compression="integer", layout="planar")
+    return back.select("event_id", "user_id", "raw", "time_ticks")
 
 
 @query("SELECT value, value / 3.0 AS third FROM events")
 def q_roundtrip_bitwise(spark, sf_dir):
     e = events(spark, sf_dir).select("value", (F.col("value") / 3.0).alias("third"))
-    back = through_files(e, compression="bitwise").select("path", "sample_index", "channel_name", "numeric")
-    return layout.wide_form(back, ["path", "sample_index"], "channel_name", "numeric", ["value", "third"]).select("value", "third")
+    return through_files(e, "wide", "value double, third double", compression="bitwise").select("value", "third")
+
+
+ADC_SQL = f"(({RAW_SQL} % 4096 + 4096) % 4096)"
+
+
+@query(f"""SELECT event_id, 'adc' AS channel_name, 1 AS logical_type, CAST({ADC_SQL} AS VARCHAR) AS raw, CAST({ADC_SQL} AS DOUBLE) * CAST(0.25 AS DOUBLE) + CAST(-3 AS DOUBLE) AS physical, 'V' AS unit FROM events
+  UNION ALL SELECT event_id, 'level', 2, CAST({ADC_SQL} - 2048 AS VARCHAR), CAST({ADC_SQL} - 2048 AS DOUBLE) / CAST(128 AS DOUBLE), 'dB' FROM events
+  UNION ALL SELECT event_id, 'high', 4, CASE WHEN {ADC_SQL} >= 2048 THEN '1' ELSE '0' END, CASE WHEN {ADC_SQL} >= 2048 THEN 1.0 ELSE 0.0 END, NULL FROM events
+  UNION ALL SELECT event_id, 'wide', 1, CAST(CAST(18446744073709551615 AS HUGEINT) - {ADC_SQL} AS VARCHAR), CAST(CAST(18446744073709551615 AS HUGEINT) - {ADC_SQL} AS DOUBLE), NULL FROM events""")
+def q_roundtrip_channels(spark, sf_dir):
+    """Channels of 12 unsigned, 12 signed, 1 and 64 unsigned bits, scaled and densely packed; the event rides in the times."""
+    adc = F.pmod("raw", F.lit(4096).cast("long"))
+    most = F.lit("18446744073709551615").cast("decimal(20,0)")
+    e = events(spark, sf_dir).select(F.col("event_id").alias("time_ticks"), adc.alias("adc"), (adc - 2048).cast("int").alias("level"), (adc >= 2048).alias("high"), (most - adc.cast("decimal(4,0)")).cast("decimal(20,0)").alias("wide"))
+    channels = {"adc": {"type": "unsigned", "bits": 12, "unit": "V", "scale": 0.25, "offset": -3}, "level": {"bits": 12, "unit": "dB", "scale": [1, 128]}}
+    back = through_files(e, channels=json.dumps(channels), layout="planar", time="delta", chunk="1000")
+    return back.select(F.col("time_ticks").alias("event_id"), "channel_name", "logical_type", F.col("raw").cast("string").alias("raw"), "physical", "unit")
+
+
+@query(f"SELECT event_id, {ADC_SQL} AS adc, CAST(5 AS BIGINT) AS start FROM events")
+def q_roundtrip_periodic(spark, sf_dir):
+    """Aligned packing, checksums in trailers, times by period; physical values stored as the nearest raw."""
+    adc = F.pmod("raw", F.lit(4096).cast("long"))
+    e = events(spark, sf_dir).select("event_id", (adc * 0.5).alias("adc"))
+    back = through_files(e, "wide", "event_id long, adc long", channels='{"adc": {"type": "unsigned", "bits": 12, "storage": 20, "scale": [1, 2]}}', packing="aligned", trailer="true", period="40", start="5", chunk="512")
+    return back.select("event_id", "adc", (F.col("time_ticks") - F.col("sample_index").cast("long") * 40).alias("start"))
+
+
+@query("SELECT vec_id, CAST(i - 1 AS BIGINT) AS element, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def q_roundtrip_arrays(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("time_ticks"), "embedding")
+    (n,) = e.select(F.max(F.size("embedding"))).first()
+    back = through_files(e, channels=json.dumps({"embedding": {"elements": n or 1}}), compression="bitwise", layout="interleaved")
+    return back.select(F.col("time_ticks").alias("vec_id"), "element", F.col("numeric").alias("value"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def q_roundtrip_bytes(spark, sf_dir):
+    """Channels of 32 fixed bytes."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("time_ticks"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    back = through_files(d, channels='{"digest": {"bits": 256}}')
+    return back.select(F.col("time_ticks").alias("doc_id"), F.lower(F.hex("raw_bytes")).alias("digest"))
+
+
+@query("SELECT text AS message FROM conversations")
+def q_roundtrip_notes(spark, sf_dir):
+    return through_files(load(spark, sf_dir, "conversations").select(F.col("text").alias("message")), "notes", table="notes").select("message")
+
+
+@query("SELECT CAST(32768 + turn AS INTEGER) AS type_id, '0x' || lower(hex(32768 + turn)) AS type, sha256(text) AS digest, strlen(text) AS payload_size FROM conversations")
+def q_roundtrip_private(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").select((32768 + F.col("turn")).cast("int").alias("type_id"), F.col("text").cast("binary").alias("payload"))
+    return through_files(c, "records", table="records").where("type_id >= 32768").select("type_id", "type", F.sha2("payload", 256).alias("digest"), "payload_size")
+
+
+@query("SELECT event_type, adc, CASE adc % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'run' ELSE CAST(adc % 4 AS VARCHAR) END AS state, n FROM (SELECT event_type, CAST(" + ADC_SQL + " % 16 AS BIGINT) AS adc, count(*) AS n FROM events GROUP BY ALL)")
+def q_roundtrip_symbols(spark, sf_dir):
+    """Value maps, bitfields and clocks written with the rows and used from what is read back."""
+    from daqframe import sources
+
+    sources.register(spark)
+    path = shared_path(spark, "logs")
+    e = events(spark, sf_dir).select(F.pmod("raw", F.lit(4096).cast("long")).bitwiseAND(15).cast("int").alias("status"), F.array_position(F.array(*(F.lit(t) for t in EVENT_TYPES)), F.col("event_type")).cast("int").alias("kind"), F.col("ticks").alias("time_ticks"))
+    objects = {
+        "clocks": {"1": {"name": "host", "domain": 1, "tick": [1, 1_000_000], "bits": 64}},
+        "value_maps": {"1": {"name": "state", "entries": [[0, "idle"], [1, "run", "is running"]]}, "2": {"name": "kind", "entries": [[i + 1, t] for i, t in enumerate(EVENT_TYPES)]}},
+        "bitfields": {"1": {"name": "status", "bits": 16, "members": [{"lsb": 0, "width": 2, "name": "state", "map": 1}, {"lsb": 2, "width": 2, "name": "spare", "reserved": True}]}},
+    }
+    channels = {"status": {"type": "unsigned", "bits": 16, "bitfield": 1}, "kind": {"type": "unsigned", "bits": 8, "storage": 8, "value_map": 2}}
+    e.write.format("daq").options(path=path, objects=json.dumps(objects), channels=json.dumps(channels), clock="1", timeDomain="1", timeUnit="1/1000000").mode("append").save()
+    rows = sources.read(spark, path, "wide", columns="status long, kind long").select("kind", F.col("status").alias("adc"))
+    entries = sources.read(spark, path, "value_map_entries").select("map_id", F.col("raw").cast("long").alias("raw"), "name").distinct()
+    members = sources.read(spark, path, "bitfield_members").where("name = 'state'").select("lsb", F.col("map_id")).distinct()
+    counted = rows.groupBy("kind", "adc").agg(F.count("*").alias("n"))
+    state = counted.crossJoin(F.broadcast(members)).withColumn("key", F.col("adc").bitwiseAND(3))  # one member
+    names = F.broadcast(entries)  # a row for each entry of two maps
+    named = state.join(names.select("map_id", F.col("raw").alias("key"), F.col("name").alias("state")), ["map_id", "key"], "left")
+    kinds = F.broadcast(entries.where("map_id = 2").select(F.col("raw").alias("kind"), F.col("name").alias("event_type")))
+    return named.join(kinds, "kind").select("event_type", "adc", F.coalesce("state", F.col("key").cast("string")).alias("state"), "n")
+
+
+@query("SELECT count(*) AS samples, min(epoch_us(ts)) AS first_ticks, max(epoch_us(ts)) AS last_ticks, true AS totals_agree, true AS found FROM events")
+def q_index_and_end(spark, sf_dir):
+    """What indexes and end records say of the files that hold the events, against the records there are."""
+    from daqframe import sources
+
+    sources.register(spark)
+    path = shared_path(spark, "logs")
+    events(spark, sf_dir).select("event_id", F.col("ticks").alias("time_ticks")).write.format("daq").options(path=path, chunk="256").mode("append").save()
+    index = sources.read(spark, path, "index_entries")
+    records = sources.read(spark, path, "records")
+    end = sources.read(spark, path, "end_records").select("path", "total_records", "data_records", "last_index_offset")
+    counted = records.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "DATA").alias("d"), F.max(F.when(F.col("type") == "INDX", F.col("record_offset"))).alias("i"))
+    agree = end.join(counted, "path", "full").agg(F.bool_and(F.coalesce((F.col("n") == F.col("total_records")) & (F.col("d") == F.col("data_records")) & (F.col("i") == F.col("last_index_offset")), F.lit(False))).alias("totals_agree"))
+    met = index.join(records.select("path", "record_offset", F.col("sequence").alias("target_sequence")), ["path", "record_offset", "target_sequence"], "left_semi").agg(F.count("*").alias("met"))
+    sums = index.agg(F.sum("count").alias("samples"), F.min("first_time_ticks").alias("first_ticks"), F.max("last_time_ticks").alias("last_ticks"), F.count("*").alias("entries"))
+    return sums.crossJoin(agree).crossJoin(met).select("samples", "first_ticks", "last_ticks", "totals_agree", (F.col("met") == F.col("entries")).alias("found"))  # one row each
+
+
+@query(f"SELECT event_id, {RAW_SQL} AS raw FROM events")
+def q_truncated_tail(spark, sf_dir):
+    """Files that end inside their last record lose that record alone."""
+    from daqframe import sources
+    from daqframe.sources.daq import decoded
+
+    sources.register(spark)
+    path = shared_path(spark, "logs")
+    events(spark, sf_dir).select(F.col("event_id").alias("time_ticks"), "raw").write.format("daq").options(path=path, trailer="true").mode("append").save()
+    cut = spark.read.format("binaryFile").load(path).select("path", F.expr("substring(content, 1, length(content) - 20)").alias("content"))
+    return decoded(cut).select(F.col("time_ticks").alias("event_id"), F.col("raw").cast("long").alias("raw"))
 
 
 @query("SELECT channel_name, count(*) AS n, CAST(sum(raw) AS BIGINT) AS total, min(time_ticks) AS first_ticks, max(time_ticks) AS last_ticks FROM ("
@@ -424,21 +533,15 @@ def q_stream_statistics(spark, sf_dir):
 
 @query("SELECT conv_id AS source_id, CAST(turn AS INTEGER) AS event_code, CASE role WHEN 'user' THEN 3 WHEN 'assistant' THEN 2 ELSE 4 END AS severity, text AS message FROM conversations")
 def q_roundtrip_text(spark, sf_dir):
-    from daqframe.sources.daq import decoded
-    from daqframe.sources.export import text_files
-
     level = F.when(F.col("role") == "user", 3).when(F.col("role") == "assistant", 2).otherwise(4)
     c = load(spark, sf_dir, "conversations").select(F.col("turn").alias("time_ticks"), level.alias("severity"), F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("event_code"), F.col("text").alias("message"))
-    return decoded(text_files(c), "text").select("source_id", "event_code", "severity", "message")
+    return through_files(c, "text", table="text").select("source_id", "event_code", "severity", "message")
 
 
 @query("SELECT page_id, strlen(html) AS size, sha256(html) AS digest FROM pages")
 def q_roundtrip_items(spark, sf_dir):
-    from daqframe.sources.daq import decoded
-    from daqframe.sources.export import item_files
-
-    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("item_index"), F.lit(None).cast("long").alias("time_ticks"), F.col("html").cast("binary").alias("data")).sortWithinPartitions("item_index")
-    back = decoded(item_files(p, "text/html"), "blobs")
+    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("item_index"), F.col("html").cast("binary").alias("data")).sortWithinPartitions("item_index")
+    back = through_files(p, "blobs", table="blobs", contentType="text/html")
     return back.select(F.col("item_index").cast("long").alias("page_id"), F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("digest"))
 
 
@@ -452,14 +555,14 @@ def q_csv_lines(spark, sf_dir):
     return both.select(F.concat_ws(",", "a", "b").alias("line"))
 
 
-@query()
+@query("SELECT 'TEXT' AS type, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations UNION ALL SELECT unnest(['SCMA', 'END!']), 1, NULL")
 def q_record_types(spark, sf_dir):
-    from daqframe import sources
-
-    sources.register(spark)
-    path = shared_path(spark, "logs")
-    events(spark, sf_dir).select("event_id", "raw").write.format("daq").options(path=path).mode("append").save()
-    return sources.read(spark, path, "records").groupBy("type").agg(F.count("*").alias("n"), F.sum("payload_size").alias("bytes"))
+    """Records by type; of schemas and ends how many a file has."""
+    texts = load(spark, sf_dir, "conversations").select(F.col("text").alias("message"))
+    records = through_files(texts, "records", table="text")
+    counted = records.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.sum("payload_size").alias("bytes"))
+    is_text = F.col("type") == "TEXT"
+    return counted.select("type", F.when(is_text, F.col("n")).otherwise(F.expr("n div files")).alias("n"), F.when(is_text, F.col("bytes")).alias("bytes"))
 
 
 # --- streaming ------------------------------------------------------------------------------------------------------------

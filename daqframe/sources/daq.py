@@ -1,6 +1,7 @@
-"""The ``daq`` format: batch reader, writer and streaming reader.
+"""The ``daq`` format: batch reader and streaming reader; daqframe.sources.writer has the writers.
 
-Reading options: ``table`` (samples, records, text, ... as in daqframe.tables.SCHEMAS), ``mode`` (FAILFAST raises the first
+Reading options: ``table`` (samples, records, text, ... as in daqframe.tables.SCHEMAS; or wide, a row for each sample, with ``columns``, such as "a long, b double": raw values of
+channels as longs or decimal(20,0), physical ones as doubles), ``mode`` (FAILFAST raises the first
 error; DROPTAIL ends a file before it; PERMISSIVE also lists it in the table errors; RECOVER goes on at the next sound record),
 ``channels`` (ids, comma-separated), ``verifyCrc``, ``partitionBytes`` and the limits ``maxHeader``, ``maxPayload``, ``maxDecoded``,
 ``maxObjects``, ``maxChannels``, ``maxText``, ``maxRecords``.
@@ -14,18 +15,16 @@ type, stream, schema, sequence and index skip records before their payload is re
 from __future__ import annotations
 
 import json
-import uuid as uuids
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
-    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamReader,
     EqualTo,
@@ -35,15 +34,17 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
-    WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
 from daqframe import wire as w
 from daqframe.schema import FileState, Registry
-from daqframe.tables import NEEDED, SCHEMA_TABLES, SCHEMAS, arrow_schema, check_order, file_batches, record_batches, rows_batch
+from daqframe.sources.writer import DaqStreamWriter, DaqWriter, FileBuilder
+from daqframe.tables import NEEDED, SCHEMA_TABLES, SCHEMAS, WIDE_KINDS, arrow_schema, check_order, file_batches, record_batches, rows_batch, wide_schema
 from daqframe.wire import FormatError, Limits, Record
 
+__all__ = ["DaqSource", "FileBuilder", "decoded", "read", "read_binary"]
+
 LIMIT_OPTIONS = {"maxheader": "header", "maxpayload": "payload", "maxdecoded": "decoded", "maxobjects": "objects", "maxchannels": "channels", "maxtext": "text", "maxrecords": "records"}
 MODES = ("FAILFAST", "DROPTAIL", "PERMISSIVE", "RECOVER")
 
@@ -96,6 +97,7 @@ class Options:
     partition_bytes: int = 64 << 20
     limits: Limits = Limits()
     trigger_bytes: int = 1 << 62
+    columns: list[tuple[str, str]] = field(default_factory=list)
 
     @classmethod
     def of(cls, options: dict[str, str]) -> Options:
@@ -103,8 +105,13 @@ class Options:
         limits = Limits(**{name: int(low[key]) for key, name in LIMIT_OPTIONS.items() if key in low})
         channels = {int(x) for x in low["channels"].split(",")} if low.get("channels") else None
         out = cls(low.get("path", ""), low.get("table", "samples"), low.get("mode", "FAILFAST").upper(), channels, low.get("verifycrc", "true").lower() != "false", int(low.get("partitionbytes", 64 << 20)), limits, int(low.get("maxbytespertrigger", 1 << 62)))
-        if out.mode not in MODES or out.table not in SCHEMAS:
-            raise ValueError(f"mode {out.mode}, table {out.table}: use one of {MODES} and of {sorted(SCHEMAS)}")
+        if out.mode not in MODES or out.table not in (*SCHEMAS, "wide"):
+            raise ValueError(f"mode {out.mode}, table {out.table}: use one of {MODES} and of {sorted([*SCHEMAS, 'wide'])}")
+        if out.table == "wide":
+            pairs = [c.rsplit(None, 1) for c in re.split(r",(?![^(]*\))", low.get("columns", ""))]
+            if any(len(p) != 2 or p[1].lower() not in WIDE_KINDS for p in pairs):
+                raise ValueError(f"table wide needs columns, such as 'a long, b double'; kinds: {sorted(WIDE_KINDS)}")
+            out.columns = [(name.strip().strip("`"), kind.lower()) for name, kind in pairs]
         return out
 
 
@@ -232,7 +239,7 @@ class DaqReader(DataSourceReader):
         options = self.options
         for record, registry, known in self._checked(file, True, []):
             if self._uses(record):
-                yield from record_batches(options.table, path, record, registry, options.limits, options.channels, known)
+                yield from record_batches(options.table, path, record, registry, options.limits, options.channels, known, options.columns)
 
     def _part(self, run: Run, file) -> Iterator[pa.RecordBatch]:
         """Records of a part of a file; those before it are walked for what they say about schemas and order."""
@@ -252,155 +259,13 @@ class DaqReader(DataSourceReader):
                 if record.offset >= run.first and self._uses(record):
                     if record.payload is None:
                         walk.load(record)
-                    yield from record_batches(options.table, run.path, record, registry, limits, options.channels)
+                    yield from record_batches(options.table, run.path, record, registry, limits, options.channels, columns=options.columns)
             except FormatError as e:
                 e.offset, e.sequence = record.offset, record.sequence
                 if not recover:
                     raise
 
 
-# --- writing ------------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    file: str
-    records: int
-
-
-class FileBuilder:
-    """Appends records to a file in order and keeps the counts that an index and an end record need."""
-
-    def __init__(self, out, created: int = w.UNKNOWN_TIME, uuid: bytes = bytes(16), trailing: bool = False):
-        self.out, self.trailing = out, trailing
-        self.sequence = self.data = self.last_index = 0
-        self.entries: list[tuple] = []
-        header = w.FileHeader(created, uuid).pack()
-        out.write(header)
-        self.offset = len(header)
-
-    def add(self, record: Record) -> int:
-        record.sequence, at = self.sequence, self.offset
-        if self.trailing:
-            record.flags |= w.CRC_IN_TRAILER
-        data = record.pack()
-        self.out.write(data)
-        self.sequence += 1
-        self.offset += len(data)
-        self.data += record.type == w.DATA
-        return at
-
-    def schema(self, schema_id: int, revision: int, objects: list[w.SchemaObject]) -> None:
-        from daqframe.schema import Schema
-
-        Schema(schema_id, revision, objects).check()
-        header, payload = w.pack_schema(schema_id, revision, objects)
-        self.add(Record(w.SCHEMA, 0, 0, header, payload))
-
-    def table(self, head: w.DataHeader, values: list[np.ndarray], channels: list, compression: str, times: np.ndarray | None = None) -> None:
-        from daqframe.codec import encode
-
-        area = b"" if times is None else times.astype("<i8").tobytes()
-        head.time_bytes = len(area)
-        ids, payload, head.decoded_bytes = encode(values, area, channels, head.layout, head.packing, compression)
-        if ids and len(payload) >= head.decoded_bytes:  # no gain: stored as it is
-            ids, payload, head.decoded_bytes = encode(values, area, channels, head.layout, head.packing, "identity")
-        head.transforms = len(ids)
-        head.check_time()
-        at = self.add(Record(w.DATA, 0, 0, head.pack(), payload))
-        first, last = (int(times[0]) + (head.start if head.time_mode == 2 else 0), int(times[-1]) + (head.start if head.time_mode == 2 else 0)) if times is not None and len(times) else (w.UNKNOWN_TIME,) * 2
-        if head.time_mode == 1 and head.count:
-            first, last = head.start, head.start + (head.count - 1) * head.period[0] // head.period[1]
-        self.entries.append((at, self.sequence - 1, head.stream_id, head.first_index, head.count, first, last))
-
-    def close(self) -> None:
-        """An index of what was written since the last one, and the end record."""
-        if self.entries:
-            self.last_index = self.add(w.index_record(self.entries, 0))
-            self.entries = []
-        self.add(w.end_record(self.sequence + 1, self.data, self.last_index, 0))
-
-
-class DaqWriter(DataSourceArrowWriter):
-    """Writes each task's rows as one file of one stream.
-
-    Integer and float columns become channels, a column ``time_ticks`` the explicit times; rows are stored in the order in which they come, ``chunk`` to a
-    record. Integers are 64-bit signed. Options: ``stream``, ``compression`` (identity, zstd, integer, bitwise), ``layout`` (interleaved, planar), ``chunk``, ``trailer``.
-    A file appears under its name only when the whole job commits.
-    """
-
-    def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
-        low = {k.lower(): v for k, v in options.items()}
-        self.path, self.overwrite = low["path"], overwrite
-        self.stream, self.compression = low.get("stream", "rows"), low.get("compression", "zstd")
-        self.layout, self.chunk, self.trailing = {"interleaved": 1, "planar": 2}[low.get("layout", "interleaved")], int(low.get("chunk", 4096)), low.get("trailer", "false") == "true"
-        self.columns = [(f.name, f.dataType.typeName()) for f in schema.fields if f.name != "time_ticks"]
-        self.timed = any(f.name == "time_ticks" for f in schema.fields)
-        bad = [n for n, t in self.columns if t not in ("long", "integer", "short", "byte", "float", "double", "boolean")]
-        if bad:
-            raise ValueError(f"columns {bad} are neither numbers nor booleans")
-
-    def objects(self) -> list[w.SchemaObject]:
-        from daqframe.schema import SAMPLES
-
-        kinds = {"long": (2, 64), "integer": (2, 32), "short": (2, 16), "byte": (2, 8), "float": (3, 32), "double": (3, 64), "boolean": (4, 1)}
-        stream = w.SchemaObject(w.STREAM, 1, [w.Tlv.of(1, w.UTF8, self.stream), w.Tlv.of(103, w.U8, self.layout), w.Tlv.of(104, w.U32, len(self.columns)), w.Tlv.of(106, w.U8, SAMPLES)])
-        out = [stream]
-        for i, (name, kind) in enumerate(self.columns):
-            logical, bits = kinds[kind]
-            out.append(w.SchemaObject(w.CHANNEL, i + 1, [w.Tlv.of(1, w.UTF8, name), w.Tlv.of(200, w.U32, 1), w.Tlv.of(201, w.U8, logical), w.Tlv.of(202, w.U16, bits), w.Tlv.of(203, w.U16, bits)]))
-        return out
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from daqframe.schema import Schema
-
-        fs, folder = store(self.path)
-        fs.create_dir(f"{folder}/_temporary", recursive=True)
-        name = f"part-{uuids.uuid4().hex}.daq"
-        records = 0
-        with fs.open_output_stream(f"{folder}/_temporary/{name}") as out:
-            build = FileBuilder(out, uuid=uuids.uuid4().bytes, trailing=self.trailing)
-            objects = self.objects()
-            build.schema(1, 1, objects)
-            channels = Schema(1, 1, objects).channels(1)
-            first = 0
-            for batch in iterator:
-                for a in range(0, batch.num_rows, self.chunk):
-                    part = batch.slice(a, self.chunk)
-                    if any(part.column(n).null_count for n, _ in self.columns) or (self.timed and part.column("time_ticks").null_count):
-                        raise ValueError("a null has no form in a sample table")
-                    values = []
-                    for (n, kind), c in zip(self.columns, channels):
-                        v = part.column(n).to_numpy(zero_copy_only=False)
-                        bits = v.view({"float": np.uint32, "double": np.uint64}[kind]) if kind in ("float", "double") else v.astype(np.int64).view(np.uint64)
-                        values.append((bits.astype(np.uint64) & np.uint64((1 << c.logical_bits) - 1)).reshape(-1, 1))
-                    times = part.column("time_ticks").to_numpy() if self.timed else None
-                    build.table(w.DataHeader(1, 1, 1, part.num_rows, first, layout=self.layout, time_mode=3 if self.timed else 4), values, channels, self.compression, times)
-                    first += part.num_rows
-                    records += 1
-            build.close()
-        return Written(name, records)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        fs, folder = store(self.path)
-        fs.create_dir(folder, recursive=True)
-        if self.overwrite:
-            for f in fs.get_file_info(pafs.FileSelector(folder)):
-                if f.type == pafs.FileType.File:
-                    fs.delete_file(f.path)
-        for m in messages:
-            if m is not None:
-                fs.move(f"{folder}/_temporary/{m.file}", f"{folder}/{m.file}")
-        if fs.get_file_info(f"{folder}/_temporary").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{folder}/_temporary")
-
-    def abort(self, messages: list[Written | None]) -> None:
-        fs, folder = store(self.path)
-        for m in messages:
-            if m is not None and fs.get_file_info(f"{folder}/_temporary/{m.file}").type == pafs.FileType.File:
-                fs.delete_file(f"{folder}/_temporary/{m.file}")
-
-
 # --- streaming ------------------------------------------------------------------------------------------------------------
 
 
@@ -469,14 +334,15 @@ class DaqStreamReader(DataSourceStreamReader):
 
 
 class DaqSource(DataSource):
-    """spark.read.format("daq"), df.write.format("daq") and spark.readStream.format("daq")."""
+    """spark.read.format("daq"), df.write.format("daq"), spark.readStream.format("daq") and df.writeStream.format("daq")."""
 
     @classmethod
     def name(cls) -> str:
         return "daq"
 
     def schema(self) -> str:
-        return SCHEMAS[Options.of(dict(self.options)).table]
+        options = Options.of(dict(self.options))
+        return wide_schema(options.columns) if options.table == "wide" else SCHEMAS[options.table]
 
     def reader(self, schema: StructType) -> DaqReader:
         return DaqReader(Options.of(dict(self.options)))
@@ -484,6 +350,9 @@ class DaqSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DaqWriter:
         return DaqWriter(dict(self.options), schema, overwrite)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DaqStreamWriter:
+        return DaqStreamWriter(dict(self.options), schema, overwrite)
+
     def streamReader(self, schema: StructType) -> DaqStreamReader:
         return DaqStreamReader(Options.of(dict(self.options)))
 

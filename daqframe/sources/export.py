@@ -1,4 +1,4 @@
-"""Sinks: CSV and JSON lines from Catalyst, CBOR from Arrow batches, and files of text and binary items."""
+"""Sinks: CSV and JSON lines from Catalyst, CBOR from Arrow batches, and whole files as JSON or CBOR documents."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daqframe import wire as w
@@ -170,53 +170,26 @@ def to_json(value) -> str:
     return json.dumps(plain(value), indent=2, ensure_ascii=False)
 
 
-# --- files of items -----------------------------------------------------------------------------------------------------
-
-
-def _files(frame: DataFrame, columns: list[str], build) -> DataFrame:
-    """(path, content): a whole file for each Arrow batch of rows."""
+def documents(files: DataFrame, kind: str = "json") -> DataFrame:
+    """(path, document): each file of (path, content) as one JSON or CBOR document; document is binary, of UTF-8 text for JSON. A task holds one file at a time."""
+    if kind not in ("json", "cbor"):
+        raise ValueError(f"documents are json or cbor, not {kind}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         for batch in batches:
-            if batch.num_rows:
-                out = io.BytesIO()
-                build(out, batch)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
-
-    return frame.select(*columns).mapInArrow(run, "path string, content binary")
-
-
-def text_files(messages: DataFrame) -> DataFrame:
-    """Files of text records from (time_ticks, severity, source_id, event_code, message); nulls where a field is absent."""
-    from daqframe.sources.daq import FileBuilder
-
-    def build(out, batch: pa.RecordBatch) -> None:
-        file = FileBuilder(out)
-        stream = w.SchemaObject(w.STREAM, 1, [w.Tlv.of(1, w.UTF8, "messages"), w.Tlv.of(104, w.U32, 0), w.Tlv.of(106, w.U8, 2)])
-        file.schema(1, 1, [stream])
-        for r in batch.to_pylist():
-            file.add(w.TextRecord(r["message"], r["time_ticks"], r["severity"], 1, 1, 1, r["source_id"], r["event_code"]).record(0))
-        file.close()
-
-    return _files(messages, ["time_ticks", "severity", "source_id", "event_code", "message"], build)
-
-
-def item_files(items: DataFrame, content_type: str, compressed: bool = True) -> DataFrame:
-    """Files of binary items from (item_index, time_ticks, data). Rows of a task must come by rising item_index."""
-    from daqframe.sources.daq import FileBuilder
-
-    def build(out, batch: pa.RecordBatch) -> None:
-        file = FileBuilder(out)
-        stream = w.SchemaObject(w.STREAM, 1, [w.Tlv.of(1, w.UTF8, "items"), w.Tlv.of(104, w.U32, 0), w.Tlv.of(106, w.U8, 3), w.Tlv.of(107, w.UTF8, content_type)])
-        file.schema(1, 1, [stream])
-        last = -1
-        for r in batch.to_pylist():
-            w.require(r["item_index"] > last, "item_order", str(r["item_index"]))
-            last = r["item_index"]
-            ticks = w.UNKNOWN_TIME if r["time_ticks"] is None else r["time_ticks"]
-            file.add(w.BlobRecord(r["data"], last, 1, 1, 1, ticks, [16] if compressed else []).record(0))
-        file.close()
-
-    return _files(items, ["item_index", "time_ticks", "data"], build)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                made = document(content.as_py())
+                made = to_json(made).encode() if kind == "json" else cbor(made)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([made], pa.binary())], names=["path", "document"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, document binary")
+
+
+def write_documents(spark: SparkSession, logs: str, path: str, kind: str = "json") -> None:
+    """The log files of a path as documents, by Spark's own file reader and writer: a row for each file, in Parquet or, for JSON, as text files of one document each."""
+    found = spark.read.format("binaryFile").load(logs)
+    made = documents(found, kind)
+    if kind == "json":
+        made.select(F.col("document").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    else:
+        made.write.parquet(path)

@@ -35,7 +35,7 @@ SCHEMAS = {
 }
 # record types that a table needs payloads of, besides schemas
 NEEDED = {
-    "samples": {w.DATA}, "text": {w.TEXT}, "blobs": {w.BLOB}, "index_entries": {w.INDEX}, "end_records": {w.END}, "notes": {w.NOTE},
+    "samples": {w.DATA}, "wide": {w.DATA}, "text": {w.TEXT}, "blobs": {w.BLOB}, "index_entries": {w.INDEX}, "end_records": {w.END}, "notes": {w.NOTE},
 }
 SCHEMA_TABLES = {"objects", "channels", "streams", "clocks", "value_map_entries", "bitfield_members"}
 
@@ -119,6 +119,43 @@ def sample_batches(path: str, record: Record, head: w.DataHeader, schema: Schema
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
 
+def wide_schema(columns: list[tuple[str, str]]) -> str:
+    """The schema of table wide: a column for each named channel of one element."""
+    return "path string, sequence long, stream_id long, sample_index decimal(20,0), time_ticks long" + "".join(f", `{name}` {kind}" for name, kind in columns)
+
+
+WIDE_KINDS = {"long": pa.int64(), "bigint": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0), "double": pa.float64()}
+
+
+def wide_batches(path: str, record: Record, head: w.DataHeader, schema: Schema, limits: Limits, columns: list[tuple[str, str]], step: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """A row for each sample of a record: longs and decimals are raw values, doubles physical ones. Channels that the stream lacks are null; a stream without any gives no rows."""
+    channels = schema.channels(head.stream_id)
+    by_name = {c.name: i for i, c in enumerate(channels) if c.elements == 1 and c.logical != FIXED}
+    if not any(name in by_name for name, _ in columns):
+        return
+    got = decode(record.payload, head, channels, limits)
+    if got is None:
+        return
+    times, values = got
+    for a in range(0, head.count, step):
+        n = min(step, head.count - a)
+        index = np.arange(head.first_index + a, head.first_index + a + n, dtype=np.uint64)
+        cells = [pa.array([path] * n, pa.string()), pa.array(np.full(n, record.sequence)), pa.array(np.full(n, head.stream_id)), decimals(index), pa.nulls(n, pa.int64()) if times is None else pa.array(times[a : a + n])]
+        for name, kind in columns:
+            target = WIDE_KINDS[kind]
+            if name not in by_name:
+                cells.append(pa.nulls(n, target))
+                continue
+            c, words = channels[by_name[name]], values[by_name[name]][a : a + n, 0]
+            if pa.types.is_floating(target):
+                cells.append(pa.array(numeric(c, words) * c.scale + c.offset))
+                continue
+            w.require(c.logical != FLOAT, "wide_type", f"{name} holds floats")
+            raw = pa.array(sign_extend(words, c.logical_bits)) if c.logical == SIGNED else pa.array(words)
+            cells.append(raw.cast(target))  # raises where an unsigned value leaves a long
+        yield pa.RecordBatch.from_arrays(cells, names=["path", "sequence", "stream_id", "sample_index", "time_ticks", *(name for name, _ in columns)])
+
+
 def schema_rows(table: str, path: str, sequence: int, schema: Schema) -> list[tuple]:
     key = (path, sequence, schema.id, schema.revision)
     out = []
@@ -170,13 +207,15 @@ def parsed(record: Record, registry: Registry, limits: Limits) -> tuple[object,
     return None, None, False
 
 
-def record_batches(table: str, path: str, record: Record, registry: Registry, limits: Limits, only: set[int] | None = None, known: tuple | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows that one record adds to a table; known is what parsed has already given."""
+def record_batches(table: str, path: str, record: Record, registry: Registry, limits: Limits, only: set[int] | None = None, known: tuple | None = None, columns: list[tuple[str, str]] = ()) -> Iterator[pa.RecordBatch]:
+    """The rows that one record adds to a table; known is what parsed has already given, columns those of table wide."""
     content, schema, decoded = known or parsed(record, registry, limits)
     if table == "records":
         yield rows_batch(table, [(path, record.offset, record.sequence, record.type, w.type_name(record.type), record.flags, record.header_size, record.version, record.payload_size, record.trailing, record.header, record.payload, decoded)])
     elif table == "samples" and record.type == w.DATA and decoded:
         yield from sample_batches(path, record, content, schema, limits, only)
+    elif table == "wide" and record.type == w.DATA and decoded:
+        yield from wide_batches(path, record, content, schema, limits, columns)
     elif table == "text" and record.type == w.TEXT:
         t = content
         yield rows_batch(table, [(path, record.sequence, t.schema_id, t.revision, t.stream_id, t.ticks, t.severity, t.source_id, t.event_code, t.message)])

@@ -1,10 +1,13 @@
+import io
 import json
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from daqframe import cli, sources, streaming, wire as w
+from daqframe import cli, sources, streaming, tables, wire as w
 from daqframe.sources import export
 from daqframe.sources.daq import DaqReader, FileBuilder, Options, Pruning
 from tests.engine import files
@@ -13,9 +16,13 @@ from tests.engine.test_files import corrupt, flipped, second
 GOLDEN_LINE = "1,1,2,1000002,2,adc1,0,1929,1929,code"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def registered(spark):
+    sources.register(spark)
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    sources.register(spark)
     path = tmp_path_factory.mktemp("logs")
     for name, (make, _, _) in files.VALID.items():
         (path / f"{name}.daq").write_bytes(make())
@@ -302,13 +309,150 @@ def test_cli(folder, tmp_path, capsysbinary):
     assert cli.main(["decode", str(tmp_path / "none.daq")]) == 1
 
 
-def test_items_and_texts_round_trip(spark):
-    from daqframe.sources.daq import decoded
+def write(rows, path, mode="append", **options):
+    rows.write.format("daq").mode(mode).options(**options).save(str(path))
+
 
+def test_items_and_texts_round_trip(spark, tmp_path):
     texts = spark.createDataFrame([(1, 4, 3, -7, "µ warning"), (2, 0, None, None, "")], "time_ticks long, severity int, source_id long, event_code int, message string")
-    got = decoded(export.text_files(texts), "text").select(*texts.columns)
-    assert sorted(got.collect()) == sorted(texts.collect())
+    write(texts, tmp_path / "t", table="text", trailer="true")
+    assert sorted(map(str, sources.read(spark, str(tmp_path / "t"), "text").select(*texts.columns).collect())) == sorted(map(str, texts.collect()))
     items = spark.createDataFrame([(1, 5, b"a" * 1000), (7, None, b"")], "item_index long, time_ticks long, data binary").coalesce(1)
-    for compressed in (True, False):
-        got = decoded(export.item_files(items, "x/y", compressed), "blobs").select(F.col("item_index").cast("long").alias("item_index"), "time_ticks", "data")
+    for compression in ("zstd", "identity"):
+        write(items, tmp_path / compression, table="blobs", compression=compression, contentType="x/y")
+        got = sources.read(spark, str(tmp_path / compression), "blobs").select(F.col("item_index").cast("long").alias("item_index"), "time_ticks", "data")
         assert sorted(map(str, got.collect())) == sorted(map(str, items.collect()))
+        (entry, *_) = sources.read(spark, str(tmp_path / compression), "index_entries").collect()
+        assert (int(entry.first_index), entry["count"]) == (1, 1)
+    notes = spark.createDataFrame([("a note",)], "message string")
+    write(notes, tmp_path / "n", table="notes")
+    assert [r.message for r in sources.read(spark, str(tmp_path / "n"), "notes").collect()] == ["a note"]
+    private = spark.createDataFrame([(0x8001, b"\1\2", b"body")], "type_id int, type_header binary, payload binary")
+    write(private, tmp_path / "p", table="records")
+    (r,) = sources.read(spark, str(tmp_path / "p"), "records").where("type_id > 32768").collect()
+    assert (r.type, bytes(r.type_header), bytes(r.payload), r.decoded) == ("0x8001", b"\1\2", b"body", False)
+
+
+@pytest.mark.parametrize("layout", ["interleaved", "planar"])
+@pytest.mark.parametrize("packing", ["dense", "aligned"])
+@pytest.mark.parametrize("compression", ["identity", "zstd"])
+def test_widths_and_layouts(spark, tmp_path, layout, packing, compression):
+    """Channels of every width from 1 to 64, signed and unsigned, at both ends of their range, without a session for the round trip."""
+    from pyspark.sql import types as T
+
+    from daqframe.sources.writer import Plan
+    from daqframe.tables import decode_bytes
+
+    widths = [1, 2, 7, 8, 9, 12, 16, 23, 31, 32, 33, 48, 63, 64]
+    fields, specs, columns = [], {}, []
+    for b in widths:
+        for kind, low, high in (("unsigned", 0, 2**b - 1), ("signed", -(2 ** (b - 1)), 2 ** (b - 1) - 1)):
+            name = f"{kind}{b}"
+            wide = high >= 2**63
+            fields.append(T.StructField(name, T.DecimalType(20, 0) if wide else T.LongType()))
+            specs[name] = {"type": kind, "bits": b, "storage": min(64, b + b % 3)}
+            values = [low, high, 0, low, high // 2]
+            columns.append(pa.array([Decimal(v) for v in values], pa.decimal128(20, 0)) if wide else pa.array(values, pa.int64()))
+    fields += [T.StructField("fixed", T.BinaryType()), T.StructField("pair", T.ArrayType(T.FloatType())), T.StructField("flag", T.BooleanType())]
+    specs |= {"fixed": {"bits": 24}, "pair": {"elements": 2}}
+    fixed, pair, flag = [bytes([i, 255, 7]) for i in range(5)], [[i + 0.5, -1.0] for i in range(5)], [True, False, True, True, False]
+    columns += [pa.array(fixed, pa.binary()), pa.array(pair, pa.list_(pa.float32())), pa.array(flag)]
+    batch = pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+    plan = Plan({"path": "x", "channels": json.dumps(specs), "layout": layout, "packing": packing, "compression": compression, "chunk": "3"}, T.StructType(fields))
+    out = io.BytesIO()
+    plan.write(out, iter([batch.slice(0, 4), batch.slice(4)]))
+    got = decode_bytes(out.getvalue()).to_pylist()
+    by = {}
+    for r in got:
+        value = r["raw_bytes"] if r["raw_bytes"] is not None else r["numeric"] if r["logical_type"] == 3 else int(r["raw"])
+        by.setdefault((r["channel_name"], r["element"]), []).append((int(r["sample_index"]), value))
+    want = {(f.name, 0): c.to_pylist() for f, c in zip(fields, columns) if f.name not in ("pair",)} | {("pair", 0): [p[0] for p in pair], ("pair", 1): [p[1] for p in pair]}
+    assert {k: [v for _, v in sorted(x)] for k, x in by.items()} == {k: [int(v) if isinstance(v, (Decimal, bool)) else v for v in x] for k, x in want.items()}
+
+
+def test_written_by_hand_and_by_the_writer_are_the_same(spark):
+    """The golden file's schema and table from rows: the same records, byte for byte, behind the file header."""
+    from pyspark.sql import types as T
+
+    from daqframe.sources.writer import Plan
+
+    specs = {n: {"type": "unsigned", "bits": 12, "unit": "code"} for n in ("adc0", "adc1")}
+    plan = Plan({"path": "x", "channels": json.dumps(specs), "compression": "identity", "period": "1", "start": "1000000", "stream": "adc", "timeDomain": "1", "timeUnit": "1/1000"}, T.StructType([T.StructField(n, T.IntegerType()) for n in specs]))
+    samples = [r for r in tables.decode_bytes(files.minimal(False)).to_pylist()]
+    columns = [pa.array([int(r["raw"]) for r in samples if r["channel_name"] == n], pa.int32()) for n in specs]
+    out = io.BytesIO()
+    plan.write(out, iter([pa.RecordBatch.from_arrays(columns, names=list(specs))]))
+    assert out.getvalue()[64:].startswith(files.minimal(False)[64:])
+
+
+@pytest.mark.parametrize("rows,schema,options,error", [
+    ([(4096,)], "x int", {"channels": '{"x": {"type": "unsigned", "bits": 12}}'}, "fit"), ([(-1,)], "x int", {"channels": '{"x": {"type": "unsigned", "bits": 12}}'}, "fit"),
+    ([(2048,)], "x int", {"channels": '{"x": {"bits": 12}}'}, "fit"), ([(1e9,)], "x double", {"channels": '{"x": {"type": "signed", "bits": 12}}'}, "fit"), ([([1, 2],)], "x array<int>", {"channels": '{"x": {"elements": 3}}'}, "elements"),
+    ([(b"ab",)], "x binary", {"channels": '{"x": {"bits": 24}}'}, "bytes"), ([(1,)], "x int", {"channels": '{"y": {}}'}, "no column"), ([(1,)], "x int", {"time": "explicit"}, "time_ticks"),
+    ([(1, 5), (2, 9)], "x int, time_ticks long", {"time": "periodic", "period": "3"}, "periodic"), ([(1,)], "x int", {"table": "blobs"}, "columns"), ([(1, b"")], "type_id int, payload binary", {"table": "records"}, "private"),
+    ([(2, b""), (1, b"")], "item_index long, data binary", {"table": "blobs"}, "rise"), ([(1,)], "x int", {"clock": "9"}, "reference"), ([(1,)], "x int", {"table": "nothing"}, "use one of"),
+])
+def test_writer_says_what_is_wrong(spark, tmp_path, rows, schema, options, error):
+    with pytest.raises(Exception, match=error):
+        write(spark.createDataFrame(rows, schema).coalesce(1), tmp_path / "out", **options)
+    assert not list(tmp_path.glob("out/*.daq"))
+
+
+def test_times(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("x"), (F.col("id") * 7 + 3).alias("time_ticks")).coalesce(1)
+    for mode, options in (("explicit", {}), ("delta", {"time": "delta"}), ("periodic", {"time": "periodic", "period": "7"})):
+        write(rows, tmp_path / mode, chunk="30", **options)
+        assert sorted((int(r.x), r.time_ticks) for r in sources.read(spark, str(tmp_path / mode), "wide", columns="x long").collect()) == [(i, 7 * i + 3) for i in range(100)]
+    write(rows.drop("time_ticks"), tmp_path / "fraction", period="10/3", start="-5", chunk="30")
+    assert sorted((int(r.x), r.time_ticks) for r in sources.read(spark, str(tmp_path / "fraction"), "wide", columns="x long").collect()) == [(i, -5 + i * 10 // 3) for i in range(100)]
+    write(rows, tmp_path / "none", time="none")
+    assert {r.time_ticks for r in sources.read(spark, str(tmp_path / "none"), "wide", columns="x long").collect()} == {None}
+
+
+def test_wide_rows(spark, tmp_path):
+    write(spark.createDataFrame([(1, 2.5, True)], "a int, b double, c boolean"), tmp_path / "w")
+    (r,) = sources.read(spark, str(tmp_path / "w"), "wide", columns="c long, a decimal(20,0), b double, missing long").collect()
+    assert (r.c, int(r.a), r.b, r.missing) == (1, 1, 2.5, None)
+    assert sources.read(spark, str(tmp_path / "w"), "wide", columns="other long").count() == 0
+    with pytest.raises(Exception, match="needs columns"):
+        sources.read(spark, str(tmp_path / "w"), "wide").count()
+
+
+def test_jobs_keep_to_their_own_files(spark, tmp_path):
+    out = tmp_path / "out"
+    other = out / "_temporary" / "another"
+    other.mkdir(parents=True)
+    (other / "part.daq").write_bytes(b"of a job that still runs")
+    write(spark.range(5).withColumnRenamed("id", "x"), out)
+    write(spark.range(3).withColumnRenamed("id", "x"), out, mode="overwrite")
+    assert (other / "part.daq").exists()
+    assert sources.read(spark, str(out)).count() == 3
+    with pytest.raises(Exception, match="fit"):
+        write(spark.range(300).withColumnRenamed("id", "x"), out, mode="overwrite", channels='{"x": {"bits": 8}}')
+    assert sources.read(spark, str(out)).count() == 3  # nothing was deleted for a job that failed
+
+
+def test_stream_writer(spark, tmp_path):
+    spark.range(40).withColumnRenamed("id", "x").repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+
+    def run(checkpoint):
+        query = stream.writeStream.format("daq").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run("a")
+    names = sorted(p.name for p in (tmp_path / "out").glob("*.daq"))
+    assert {n[:17] for n in names} >= {"batch-0000000000-", "batch-0000000001-"}
+    assert sorted(int(r.x) for r in sources.read(spark, str(tmp_path / "out"), "wide", columns="x long").collect()) == list(range(40))
+    run("a")
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.daq")) == names
+    run("b")  # a new query of the same batches: each replaces what its number left
+    assert sources.read(spark, str(tmp_path / "out"), "wide", columns="x long").count() == 40
+
+
+def test_documents(spark, folder, tmp_path):
+    export.write_documents(spark, f"{folder}/minimal-*.daq", str(tmp_path / "json"))
+    found = [json.loads(p.read_text()) for p in (tmp_path / "json").glob("part*") if p.stat().st_size]
+    assert len(found) == 2 and all(4095 in [s["raw"] for r in d["records"] for s in r.get("samples", [])] for d in found)
+    binary = spark.read.format("binaryFile").load(f"{folder}/*.daq")
+    assert {bytes(r.document)[0] for r in export.documents(binary, "cbor").collect()} == {0xA2}
