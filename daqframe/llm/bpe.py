@@ -45,6 +45,8 @@ class Vocabulary:
                 left, right = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 16 | right] = i
+        if max(self.token) >= 1 << 16 or len(self.pairs) > 3 << (SLOT_BITS - 2):
+            raise ValueError(f"ranks up to {max(self.token)} with {len(self.pairs)} pairs: pairs are packed in 32 bits and {1 << SLOT_BITS} slots")
         keys, values = np.array(list(self.pairs), np.uint32), np.array(list(self.pairs.values()), np.uint32)
         self.keys, self.values = np.full(1 << SLOT_BITS, NONE), np.full(1 << SLOT_BITS, NONE)
         slot = self.slot(keys)

@@ -3,9 +3,10 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 
-from daqframe.llm.bpe import encoder, round_trip
+from daqframe.llm.bpe import Vocabulary, encoder, round_trip
 from tests.llm.conftest import prose
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,3 +48,10 @@ def test_digests(spark, documents, odd_rows):
     got = round_trip(documents(rows), RANKS, public_tokenizers.PATTERN).collect()
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     assert round_trip(documents([]), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_vocabularies_beyond_the_packing_are_refused():
+    bytes_only = {bytes([b]): b for b in range(256)}
+    assert Vocabulary(bytes_only | {b"ab": 256}).merge_long(b"abab") == [256, 256]
+    with pytest.raises(ValueError, match="packed"):
+        Vocabulary(bytes_only | {b"ab": 1 << 16})
