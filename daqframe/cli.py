@@ -1,4 +1,4 @@
-"""python -m daqframe.cli decode FILE --format csv|json|cbor [-o PATH|-]. Exit code 0; 1 for bad data; 2 for bad usage."""
+"""python -m daqframe.cli [decode] FILE [-f|--format csv|json|cbor] [-o|--output PATH|-]. Exit code 0; 1 for bad data; 2 for bad usage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pathlib import Path
 
 from daqframe.wire import FormatError
 
-USAGE = "usage: decode FILE --format csv|json|cbor [-o PATH|-]"
+USAGE = "usage: [decode] FILE [-f|--format json|cbor|csv] [-o|--output PATH|-]"
+OPTIONS = {"-f": "format", "--format": "format", "-o": "output", "--output": "output"}
 
 
 def number(x: float | None) -> str:
@@ -37,32 +38,35 @@ def csv_text(data: bytes) -> str:
 def main(args: list[str]) -> int:
     from daqframe.sources.export import cbor, document, to_json
 
-    options, rest = {"--format": "json", "-o": "-"}, list(args)
+    if not args or "--help" in args or "-h" in args:
+        print(USAGE, file=sys.stderr)
+        return 0 if args else 2
+    options, rest = {"format": "json", "output": "-"}, list(args)
     try:
-        if rest.pop(0) != "decode":
-            raise ValueError
+        if rest[0] == "decode":
+            rest.pop(0)
         path = rest.pop(0)
+        if path.startswith("-"):
+            raise ValueError("a path must come first")
         while rest:
             key = rest.pop(0)
-            if key not in options:
-                raise ValueError
-            options[key] = rest.pop(0)
-        if options["--format"] not in ("csv", "json", "cbor"):
-            raise ValueError
-    except (IndexError, ValueError):
+            options[OPTIONS[key]] = rest.pop(0)
+        kind = options["format"].lower()
+        if kind not in ("csv", "json", "cbor"):
+            raise ValueError(f"format {kind}")
+    except (IndexError, KeyError, ValueError):
         print(USAGE, file=sys.stderr)
         return 2
     try:
         data = Path(path).read_bytes()
-        kind = options["--format"]
         out = csv_text(data).encode() if kind == "csv" else cbor(document(data)) if kind == "cbor" else (to_json(document(data)) + "\n").encode()
     except (OSError, FormatError) as e:
         print(e, file=sys.stderr)
         return 1
-    if options["-o"] == "-":
+    if options["output"] == "-":
         sys.stdout.buffer.write(out)
     else:
-        Path(options["-o"]).write_bytes(out)
+        Path(options["output"]).write_bytes(out)
     return 0
 
 

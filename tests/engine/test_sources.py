@@ -307,6 +307,10 @@ def test_cli(folder, tmp_path, capsysbinary):
     assert 4095 in [s["raw"] for r in json.loads(capsysbinary.readouterr().out)["records"] for s in r.get("samples", [])]
     assert cli.main(["decode", path, "--format", "xml"]) == 2
     assert cli.main(["decode", str(tmp_path / "none.daq")]) == 1
+    assert cli.main([path, "-f", "CSV", "--output", str(tmp_path / "x.csv")]) == 0
+    assert GOLDEN_LINE in (tmp_path / "x.csv").read_text().split("\n")
+    for args, code in ((["--help"], 0), ([path, "-h"], 0), ([], 2), (["decode"], 2), ([path, "-f"], 2), ([path, "--what", "x"], 2), (["-f", "csv", path], 2)):
+        assert cli.main(args) == code
 
 
 def write(rows, path, mode="append", **options):
