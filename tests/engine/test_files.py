@@ -79,6 +79,28 @@ def corrupt():
     }
 
 
+# fixed values: the SHA-256 of the golden corrupt and truncated files
+CORRUPT = {
+    "file_header_crc": "ba306a6c667e5e5a6c6b65eab674958b4ae1df34c1282d5583861ec447b99bc8",
+    "record_header_crc": "c41798c3586d225bb361f5aac06d72950e88c3fdc5b9a33dbc00b30c1df62c69",
+    "payload_crc": "e6a1c2aa8282a978ad0ae0e146623a8b70cb2c3ea8c33e1c55d37925f4ff89c2",
+    "trailer_marker": "cc201d7bd2b4c0bc7ca4a89549a3d829c4548243555c504b87e28779b3cb7601",
+    "trailer_sequence": "ca93d1f5413fc6bc2fa93ec20f54956f30256e72c63cc2bca211c60b97e47977",
+    "tlv_overrun": "b6530824ee1a3f27fb2009990fdbcc8d47c4ba9db7a13afab70c2f90a341c32d",
+    "transform_order": "dc653550120ff07f78510c0b57244de1f1dac1a028c05e11f5d5f1ebbcca1416",
+    "decoded_size": "9f42b741b3515703442d119743fe7e4cf264c56e9d09fcc4ae1dbad827ca0473",
+    "reserved_flag": "bef553b9bb7b472e09dc76d266b47246e98b506b705d39edd4c9b737282487c8",
+    "truncated_final_header": "fa66771d23fd08c4c0a6777d0f6bdf5937ada461ef2bde87b85c2766285353e8",
+    "truncated_final_payload": "a58236fd1d4fd7ad38a5a32dc14e5ce75bf9b3b31ef7fecfd2cf2fec378f7fbb",
+}
+
+
+def test_corrupt_and_truncated_files_are_the_golden_ones():
+    data = files.minimal(False)
+    made = corrupt() | {"truncated_final_header": data + bytes.fromhex("53445243 0200 0000 6000 01 00"), "truncated_final_payload": data[:-2]}
+    assert {reason: hashlib.sha256(x).hexdigest() for reason, x in made.items()} == CORRUPT
+
+
 @pytest.mark.parametrize("reason", corrupt())
 def test_corrupt_files(reason):
     with pytest.raises(FormatError) as e:
