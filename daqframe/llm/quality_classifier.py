@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daqframe.llm.sampling import narrow, remainder, sampled, with_label
+from daqframe.llm.sampling import marks_of, narrow, remainder, sampled
 from daqframe.llm.textblock import TextBlock, blocks, characters, gram_hashes, mix
 
 BITS = 16
@@ -139,8 +139,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 4096, longes
 
     Texts over longest bytes are learned only where a label has no shorter ones.
     """
-    rows = with_label(documents, labels, "quality", where=remainder(F.col("doc_id"), 5) != 0)
-    drawn = sampled(rows, sample_rows, longest, sample_bytes).toArrow().sort_by([("doc_id", "ascending")])
+    marks = marks_of(labels, "quality", where=remainder(F.col("doc_id"), 5) != 0)
+    drawn = sampled(narrow(documents), sample_rows, longest, sample_bytes, marks).toArrow().sort_by([("doc_id", "ascending")])
     return train(drawn.column("text").combine_chunks() if len(drawn) else pa.array([], pa.string()), drawn.column("label").to_numpy(), **options)
 
 

@@ -17,14 +17,18 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def sampled(rows: DataFrame, most: int, longest: int, most_bytes: int) -> DataFrame:
+def sampled(rows: DataFrame, most: int, longest: int, most_bytes: int, marks: DataFrame | None = None) -> DataFrame:
     """A bounded sample of rows (doc_id, text, label) in which no label is missing: at most `most` rows of at most most_bytes of text together.
 
-    Drawn are the smallest by a hash of doc_id, one row for each doc_id and label (the smallest by a hash of its text). An eighth of the sample is kept for
-    labels in equal parts, the rest is filled as rows come. Texts over longest bytes are drawn only after a label's shorter ones, so a label that has longer ones alone
-    is still seen. Rows without doc_id or label take no part. Nothing but numbers is shuffled until the rows are chosen.
+    marks: (doc_id, label), where rows have no label of their own. Drawn are the smallest by a hash of doc_id, one row for each doc_id and label (the smallest by a
+    hash of its text). An eighth of the sample is kept for labels in equal parts, the rest is filled as rows come. Texts over longest bytes are drawn only after a label's
+    shorter ones, so a label that has longer ones alone is still seen. Rows without doc_id or label take no part. Nothing but numbers is shuffled until the rows are chosen.
     """
-    key = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.xxhash64("text").alias("text_key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).where("doc_id is not null and label is not null")
+    own = [] if marks is not None else ["label"]
+    key = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.xxhash64("text").alias("text_key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    if marks is not None:
+        key = key.join(marks, "doc_id")
+    key = key.where("doc_id is not null and label is not null")
     one = key.groupBy("doc_id", "label").agg(F.min(F.struct((F.col("size") > longest).alias("long"), "text_key", "size")).alias("x")).select("doc_id", "label", "x.*")
     one = one.withColumn("pick", F.xxhash64("doc_id"))
     nth = one.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("long", "pick", "doc_id"))).where(F.col("nth") <= most)
@@ -37,16 +41,17 @@ def sampled(rows: DataFrame, most: int, longest: int, most_bytes: int) -> DataFr
             left -= r["size"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), key.schema["label"], T.StructField("text_key", T.LongType())])
     wanted = rows.sparkSession.createDataFrame(chosen, schema)
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").withColumn("text_key", F.xxhash64("text"))
-    return found.join(F.broadcast(wanted), ["doc_id", "label", "text_key"]).groupBy("doc_id", "label", "text_key").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).withColumn("text_key", F.xxhash64("text"))
+    met = found.join(F.broadcast(wanted), ["doc_id", *own, "text_key"])
+    return met.groupBy("doc_id", "label", "text_key").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
-def with_label(documents: DataFrame, labels: DataFrame, label: str, where: Column | None = None) -> DataFrame:
-    """(doc_id, text, label) of the documents that labels mark. A doc_id with several labels has the smallest."""
+def marks_of(labels: DataFrame, label: str, where: Column | None = None) -> DataFrame:
+    """(doc_id, label) of what a labels table marks. A doc_id with several labels has the smallest."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
         marked = marked.where(where)
-    return narrow(documents).join(marked.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id")
+    return marked.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
 def unused(table: DataFrame, name: str) -> str:
