@@ -66,6 +66,12 @@ def json_lines(samples: DataFrame) -> DataFrame:
     return samples.select("path", "sequence", body.alias("line"))
 
 
+def json_rows(frame: DataFrame) -> DataFrame:
+    """(line): each row of any table as a JSON object; binary values as base64, doubles that JSON can't hold as null."""
+    plain = [finite(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in frame.schema.fields]
+    return frame.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("line"))
+
+
 # --- CBOR ---------------------------------------------------------------------------------------------------------------
 
 

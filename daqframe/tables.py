@@ -67,6 +67,17 @@ def decimals(words: np.ndarray, signed: np.ndarray | None = None) -> pa.Array:
     return pa.array(words if signed is None else signed).cast(pa.decimal128(20, 0))
 
 
+def fixed_bytes(lanes: list[np.ndarray | None], n: int) -> pa.Array:
+    """Values of fixed bytes, sample by sample and lane by lane; null for lanes that have none."""
+    sizes = np.array([0 if x is None else x.shape[1] for x in lanes])
+    offsets = np.zeros(n * len(lanes) + 1, np.int64)
+    np.cumsum(np.tile(sizes, n), out=offsets[1:])
+    data = np.concatenate([x for x in lanes if x is not None], axis=1)
+    there = np.packbits(np.tile(sizes > 0, n), bitorder="little")
+    wide = pa.Array.from_buffers(pa.large_binary(), n * len(lanes), [pa.py_buffer(there.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+    return wide.cast(pa.binary())
+
+
 def sample_batches(path: str, record: Record, head: w.DataHeader, schema: Schema, limits: Limits, only: set[int] | None = None, step: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Long rows of one record by sample, channel and element; only limits them to some channels."""
     channels = schema.channels(head.stream_id)
@@ -100,9 +111,7 @@ def sample_batches(path: str, record: Record, head: w.DataHeader, schema: Schema
         raw = pa.compute.if_else(pa.array(is_signed), decimals(bits, signed), decimals(bits))
         raw = pa.compute.if_else(pa.array(is_fixed | is_float), pa.nulls(rows, pa.decimal128(20, 0)), raw)
         index = np.repeat(np.arange(head.first_index + a, head.first_index + a + n, dtype=np.uint64), len(lanes))
-        fixed = pa.nulls(rows, pa.binary())
-        if is_fixed.any():
-            fixed = pa.array([lanes[i % len(lanes)][2][a + i // len(lanes)].tobytes() if is_fixed[i] else None for i in range(rows)], pa.binary())
+        fixed = fixed_bytes([v[a : a + n] if c.logical == FIXED else None for c, _, v in lanes], n) if is_fixed.any() else pa.nulls(rows, pa.binary())
 
         def constant(value, kind):
             return pa.array([value], kind).take(pa.array(np.zeros(rows, np.int64)))

@@ -454,6 +454,13 @@ def test_stream_writer(spark, tmp_path):
     assert sources.read(spark, str(tmp_path / "out"), "wide", columns="x long").count() == 40
 
 
+def test_rows_of_any_table_as_json(spark, folder):
+    for table in ("records", "objects", "channels", "blobs", "value_map_entries"):
+        frame = sources.read(spark, str(folder), table)
+        lines = [json.loads(r.line) for r in export.json_rows(frame).collect()]
+        assert len(lines) == frame.count() and all(list(x) == frame.columns for x in lines)
+
+
 def test_documents(spark, folder, tmp_path):
     export.write_documents(spark, f"{folder}/minimal-*.daq", str(tmp_path / "json"))
     found = [json.loads(p.read_text()) for p in (tmp_path / "json").glob("part*") if p.stat().st_size]
