@@ -72,7 +72,7 @@ def ranked_axes(x: np.ndarray, rotation: int, most: int) -> tuple[np.ndarray, np
     """The nearest `most` signed axes of each row, nearest first (i for axis i, width + i for its opposite), and how far along them a row lies."""
     y = rotated(x, rotation)
     both = np.concatenate([-y, y], axis=1)
-    order = np.argsort(both, axis=1, kind="stable")[:, :most]
+    order = np.argmin(both, axis=1)[:, None] if most == 1 else np.argsort(both, axis=1, kind="stable")[:, :most]
     return order, np.take_along_axis(both, order, axis=1)
 
 
