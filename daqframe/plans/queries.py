@@ -469,7 +469,23 @@ def q_roundtrip_private(spark, sf_dir):
 
 @query("SELECT event_type, adc, CASE adc % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'run' ELSE CAST(adc % 4 AS VARCHAR) END AS state, n FROM (SELECT event_type, CAST(" + ADC_SQL + " % 16 AS BIGINT) AS adc, count(*) AS n FROM events GROUP BY ALL)")
 def q_roundtrip_symbols(spark, sf_dir):
-    """Value maps, bitfields and clocks written with the rows and used from what is read back."""
+    """Value maps and bitfields written with the rows and used from what is read back."""
+    from daqframe import sources
+
+    path = symbol_logs(spark, sf_dir)
+    rows = sources.read(spark, path, "wide", columns="status long, kind long").select("kind", F.col("status").alias("adc"))
+    entries = sources.read(spark, path, "value_map_entries").select("map_id", F.col("raw").cast("long").alias("raw"), "name").distinct()
+    members = sources.read(spark, path, "bitfield_members").where("name = 'state'").select("lsb", F.col("map_id")).distinct()
+    counted = rows.groupBy("kind", "adc").agg(F.count("*").alias("n"))
+    state = counted.crossJoin(F.broadcast(members)).withColumn("key", F.col("adc").bitwiseAND(3))  # one member
+    names = F.broadcast(entries)  # a row for each entry of two maps
+    named = state.join(names.select("map_id", F.col("raw").alias("key"), F.col("name").alias("state")), ["map_id", "key"], "left")
+    kinds = F.broadcast(entries.where("map_id = 2").select(F.col("raw").alias("kind"), F.col("name").alias("event_type")))
+    return named.join(kinds, "kind").select("event_type", "adc", F.coalesce("state", F.col("key").cast("string")).alias("state"), "n")
+
+
+def symbol_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The path of logs whose channels have a bitfield and a value map and whose stream has a clock."""
     from daqframe import sources
 
     sources.register(spark)
@@ -482,15 +498,61 @@ def q_roundtrip_symbols(spark, sf_dir):
     }
     channels = {"status": {"type": "unsigned", "bits": 16, "bitfield": 1}, "kind": {"type": "unsigned", "bits": 8, "storage": 8, "value_map": 2}}
     e.write.format("daq").options(path=path, objects=json.dumps(objects), channels=json.dumps(channels), clock="1", timeDomain="1", timeUnit="1/1000000").mode("append").save()
-    rows = sources.read(spark, path, "wide", columns="status long, kind long").select("kind", F.col("status").alias("adc"))
-    entries = sources.read(spark, path, "value_map_entries").select("map_id", F.col("raw").cast("long").alias("raw"), "name").distinct()
-    members = sources.read(spark, path, "bitfield_members").where("name = 'state'").select("lsb", F.col("map_id")).distinct()
-    counted = rows.groupBy("kind", "adc").agg(F.count("*").alias("n"))
-    state = counted.crossJoin(F.broadcast(members)).withColumn("key", F.col("adc").bitwiseAND(3))  # one member
-    names = F.broadcast(entries)  # a row for each entry of two maps
-    named = state.join(names.select("map_id", F.col("raw").alias("key"), F.col("name").alias("state")), ["map_id", "key"], "left")
-    kinds = F.broadcast(entries.where("map_id = 2").select(F.col("raw").alias("kind"), F.col("name").alias("event_type")))
-    return named.join(kinds, "kind").select("event_type", "adc", F.coalesce("state", F.col("key").cast("string")).alias("state"), "n")
+    return path
+
+
+@query("""SELECT * FROM (VALUES ('clock of a stream', 1, 0), ('value map of a channel', 1, 0), ('bitfield of a channel', 1, 0), ('value map of a member', 1, 0), ('bits of a bitfield', 1, 0), ('unit of a stream', 1, 0),
+  ('id of an object', 7, 0), ('raw value of a map', 7, 0), ('place of a member', 2, 0)) AS t(rule, kept, broken)""")
+def q_object_rules(spark, sf_dir):
+    """What schemas say of each other, by the checks over the tables that are read back: how often a file keeps each rule, and how often one is broken."""
+    from daqframe import sources
+
+    path = symbol_logs(spark, sf_dir)
+    read = {t: sources.read(spark, path, t) for t in ("objects", "channels", "streams", "clocks", "value_map_entries", "bitfield_members")}
+    maps = read["value_map_entries"].select(F.col("path").alias("at"), F.col("map_id").alias("target"))
+    clocks = read["clocks"].select(F.col("path").alias("at"), F.col("clock_id").alias("target"))
+    fields = read["bitfield_members"].select(F.col("path").alias("at"), F.col("bitfield_id").alias("target"))
+
+    def reference(rule: str, rows: DataFrame, column: str, targets: DataFrame) -> DataFrame:
+        keys = [("path", "at"), (column, "target")]
+        whole = rows.where(F.col(column).isNotNull()).select("path", column)
+        return checks.known(whole, targets, keys).select(F.lit(rule).alias("rule"), "path", F.lit(1).alias("kept")).unionByName(checks.dangling(whole, targets, keys).select(F.lit(rule).alias("rule"), "path", F.lit(0).alias("kept")))
+
+    def held(rule: str, rows: DataFrame, test: Column) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), "path", test.cast("int").alias("kept"))
+
+    wide = read["channels"].join(read["bitfield_members"].select("path", "bitfield_id", F.col("storage_bits").alias("field_bits")).distinct(), ["path", "bitfield_id"])
+    unit = read["streams"].join(read["clocks"], ["path", "clock_id"])
+    same_unit = F.col("time_unit_num") * F.col("tick_den") == F.col("tick_num") * F.col("time_unit_den")
+    ids = read["objects"].join(checks.duplicates(read["objects"], ["path", "kind", "object_id"]), ["path", "kind", "object_id"], "left")
+    raws = read["value_map_entries"].join(checks.duplicates(read["value_map_entries"], ["path", "map_id", "raw"]), ["path", "map_id", "raw"], "left")
+    places = read["bitfield_members"].select("path", "bitfield_id", "lsb", "width")
+    overlaps = checks.overlapping(places, ["path", "bitfield_id"], "lsb", "width").select("path", "bitfield_id", "lsb", F.lit(1).alias("n"))
+    found = [
+        reference("clock of a stream", read["streams"], "clock_id", clocks),
+        reference("value map of a channel", read["channels"], "value_map_id", maps),
+        reference("bitfield of a channel", read["channels"], "bitfield_id", fields),
+        reference("value map of a member", read["bitfield_members"], "map_id", maps),
+        held("bits of a bitfield", wide, F.col("storage_bits") == F.col("field_bits")),
+        held("unit of a stream", unit, same_unit),
+        held("id of an object", ids, F.col("n").isNull()),
+        held("raw value of a map", raws, F.col("n").isNull()),
+        held("place of a member", places.join(overlaps, ["path", "bitfield_id", "lsb"], "left"), F.col("n").isNull()),
+    ]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    per_file = every.groupBy("rule", "path").agg(F.sum("kept").alias("kept"), F.sum(1 - F.col("kept")).alias("broken"))
+    return per_file.groupBy("rule").agg(F.max("kept").cast("int").alias("kept"), F.sum("broken").cast("int").alias("broken"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell, CAST(to_json(struct_pack(message := text)) AS VARCHAR) AS line FROM conversations""")
+def q_text_cells(spark, sf_dir):
+    """Texts as CSV cells and as JSON."""
+    from daqframe.sources.export import quoted
+
+    c = load(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", quoted(F.col("text")).alias("cell"), F.to_json(F.struct(F.col("text").alias("message")), {"ignoreNullFields": "false"}).alias("line"))
 
 
 @query("SELECT count(*) AS samples, min(epoch_us(ts)) AS first_ticks, max(epoch_us(ts)) AS last_ticks, true AS totals_agree, true AS found FROM events")
