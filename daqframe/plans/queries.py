@@ -17,7 +17,7 @@ from daqframe import streaming
 from daqframe.operators import checks, layout, series, symbols
 from daqframe.operators import time as times
 from daqframe.operators.lanes import with_folds
-from daqframe.session import shared_path
+from daqframe.session import checkpointed, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -508,7 +508,8 @@ def q_object_rules(spark, sf_dir):
     from daqframe import sources
 
     path = symbol_logs(spark, sf_dir)
-    read = {t: sources.read(spark, path, t) for t in ("objects", "channels", "streams", "clocks", "value_map_entries", "bitfield_members")}
+    # small tables, each read from the files once
+    read = {t: checkpointed(sources.read(spark, path, t)) for t in ("objects", "channels", "streams", "clocks", "value_map_entries", "bitfield_members")}
     maps = read["value_map_entries"].select(F.col("path").alias("at"), F.col("map_id").alias("target"))
     clocks = read["clocks"].select(F.col("path").alias("at"), F.col("clock_id").alias("target"))
     fields = read["bitfield_members"].select(F.col("path").alias("at"), F.col("bitfield_id").alias("target"))
