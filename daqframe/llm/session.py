@@ -7,16 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daqframe.session import shared_folder
+from daqframe.session import checkpointed, shared_folder
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; for small rows."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "partitions", "ranked", "shared_folder", "small_batches", "table", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
