@@ -477,9 +477,9 @@ def q_roundtrip_symbols(spark, sf_dir):
     entries = sources.read(spark, path, "value_map_entries").select("map_id", F.col("raw").cast("long").alias("raw"), "name").distinct()
     members = sources.read(spark, path, "bitfield_members").where("name = 'state'").select("lsb", F.col("map_id")).distinct()
     counted = rows.groupBy("kind", "adc").agg(F.count("*").alias("n"))
-    state = counted.crossJoin(F.broadcast(members)).withColumn("key", F.col("adc").bitwiseAND(3))  # one member
-    names = F.broadcast(entries)  # a row for each entry of two maps
-    named = state.join(names.select("map_id", F.col("raw").alias("key"), F.col("name").alias("state")), ["map_id", "key"], "left")
+    # a row for each entry of the member's map
+    states = F.broadcast(entries.join(F.broadcast(members), "map_id").select(F.col("raw").alias("key"), F.col("name").alias("state")))
+    named = counted.withColumn("key", F.col("adc").bitwiseAND(3)).join(states, "key", "left")
     kinds = F.broadcast(entries.where("map_id = 2").select(F.col("raw").alias("kind"), F.col("name").alias("event_type")))
     return named.join(kinds, "kind").select("event_type", "adc", F.coalesce("state", F.col("key").cast("string")).alias("state"), "n")
 
@@ -571,7 +571,8 @@ def q_index_and_end(spark, sf_dir):
     agree = end.join(counted, "path", "full").agg(F.bool_and(F.coalesce((F.col("n") == F.col("total_records")) & (F.col("d") == F.col("data_records")) & (F.col("i") == F.col("last_index_offset")), F.lit(False))).alias("totals_agree"))
     met = index.join(records.select("path", "record_offset", F.col("sequence").alias("target_sequence")), ["path", "record_offset", "target_sequence"], "left_semi").agg(F.count("*").alias("met"))
     sums = index.agg(F.sum("count").alias("samples"), F.min("first_time_ticks").alias("first_ticks"), F.max("last_time_ticks").alias("last_ticks"), F.count("*").alias("entries"))
-    return sums.crossJoin(agree).crossJoin(met).select("samples", "first_ticks", "last_ticks", "totals_agree", (F.col("met") == F.col("entries")).alias("found"))  # one row each
+    every = sums.unionByName(agree, allowMissingColumns=True).unionByName(met, allowMissingColumns=True)  # three rows
+    return every.agg(*(F.max(c).alias(c) for c in ("samples", "first_ticks", "last_ticks", "totals_agree")), (F.max("met") == F.max("entries")).alias("found"))
 
 
 @query(f"SELECT event_id, {RAW_SQL} AS raw FROM events")

@@ -7,7 +7,7 @@ import pytest
 from daqframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-FILES = [n for n in QUERIES if "roundtrip" in n or n in ("q_stream_statistics", "q_csv_lines", "q_record_types", "q_stream_windows")]
+FILES = [n for n in QUERIES if "roundtrip" in n or n in ("q_stream_statistics", "q_csv_lines", "q_record_types", "q_stream_windows", "q_object_rules", "q_truncated_tail", "q_index_and_end")]
 
 
 def plan(frame):
@@ -20,6 +20,12 @@ def test_plan(spark, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapInArrow", text)
 
 
+@pytest.mark.parametrize("name", ["q_roundtrip_symbols", "q_index_and_end", "q_roundtrip_rows"])
+def test_plan_through_files(spark, name):
+    """Python reads files there, but nothing is paired row by row."""
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", plan(QUERIES[name](spark, SF)))
+
+
 @pytest.mark.parametrize("name,columns", [("q_physical", {"event_id", "value"}), ("q_blob_sizes", {"text", "source"}), ("q_homogeneous", {"l_orderkey", "l_returnflag", "l_linestatus"}), ("q_end_totals", {"conv_id", "role"})])
 def test_scans_read_what_they_need(spark, name, columns):
     (schema,) = re.findall(r"ReadSchema: struct<([^>]*)>", plan(QUERIES[name](spark, SF)))
