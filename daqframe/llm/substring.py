@@ -14,7 +14,8 @@ a function of the window's words alone. A window that occurs in two documents ha
 3. Anchors of one document alone drop out; the others go back to their documents.
 4. Neighbouring windows with one anchor make a span of words. Documents with the same span: all but the smallest doc_id lose it
    as a whole, at a row for each span.
-5. What the smallest documents' spans still share with others, at their ends, shows in their windows. The smallest doc_id of each window is found.
+5. What the smallest documents' spans still share with others, at their ends, shows in their windows. A window reaches as far to one side of its anchor as to the other or
+   farther: the anchor and so many words on either side are looked up first, and only windows at halves that several documents have go on. The smallest doc_id of each is found.
 6. Words covered by a window that starts in a smaller doc_id are removed.
 
 Anchors only bring candidates together. Sequences, spans and windows are told by cryptographic digests of their words (SHA-256, BLAKE2b of 128 bits),
@@ -87,14 +88,23 @@ def least_in(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
 
 
-def anchors(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of size words within a row: the word that each starts at, and its anchor."""
+def leftmost(keys: np.ndarray, wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The first place at low or behind it that holds the wanted key; there is one."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    number = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])) * len(keys)
+    return order[np.searchsorted(number + order, number[np.searchsorted(ordered, wanted)] + low)]
+
+
+def anchors(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW, levels: int = LEVELS, where: bool = False) -> tuple[np.ndarray, ...]:
+    """All windows of size words within a row: the word that each starts at, and its anchor; where: also the first word of the anchor's first place and the one behind it."""
     row = rows_of(bounds)
     if len(words) < size:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return (np.zeros(0, np.int64), np.zeros(0, U64)) + (np.zeros(0, np.int64),) * 2 * where
     start = np.flatnonzero(row[: len(words) - size + 1] == row[size - 1 :])
     anchor = np.zeros(len(start), U64)
     symbol, place = mix(words + U64(77)), np.arange(len(words))
+    begin, behind = start.copy(), start + size
     low, high, alive = start.copy(), start + size, np.ones(len(start), bool)
     for level in range(levels + 1):
         if level:
@@ -120,9 +130,13 @@ def anchors(words: np.ndarray, bounds: np.ndarray, size: int = WINDOW, levels: i
             break
         turn = np.ones(len(now), bool)  # neighbours mostly have the same range
         turn[1:] = (low[now[1:]] != low[now[:-1]]) | (high[now[1:]] != high[now[:-1]])
-        some = now[turn]
-        anchor[now] = mix(least_in(key, low[some], high[some]) + U64(level))[np.cumsum(turn) - 1]
-    return start, anchor
+        some, each = now[turn], np.cumsum(turn) - 1
+        least = least_in(key, low[some], high[some])
+        anchor[now] = mix(least + U64(level))[each]
+        if where:
+            at = leftmost(key, least, low[some])
+            begin[now], behind[now] = place[at][each], last[at][each]
+    return (start, anchor, begin, behind) if where else (start, anchor)
 
 
 def still(alive: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,34 +202,59 @@ def within(values: np.ndarray, row: np.ndarray, allowed: np.ndarray, allowed_row
 
 
 SPANS = "doc_id long, text_key long, first int, count int, span binary"
+HALVES = ", left_count int, left_half binary, right_first int, right_count int, right_half binary"
 
 
-def spans_table(rows: pa.RecordBatch, row: np.ndarray, first: np.ndarray, count: np.ndarray, texts: Iterator[bytes]) -> pa.RecordBatch:
+def spans_table(rows: pa.RecordBatch, row: np.ndarray, first: np.ndarray, count: np.ndarray, texts: Iterator[bytes]) -> dict[str, pa.Array]:
     owner = pa.array(row)
-    columns = [rows.column("doc_id").take(owner), rows.column("text_key").take(owner), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array([short_digest(x) for x in texts], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "first", "count", "span"])
+    return {"doc_id": rows.column("doc_id").take(owner), "text_key": rows.column("text_key").take(owner), "first": pa.array(first.astype(np.int32)), "count": pa.array(count.astype(np.int32)), "span": pa.array([short_digest(x) for x in texts], pa.binary())}
 
 
 def shared_spans(texts: DataFrame, window: int) -> DataFrame:
-    """Spans at the anchors listed with each row: count windows from the one at word first of the document, and a digest of their words."""
+    """Spans at the anchors listed with each row: count windows from the one at word first of the document, and a digest of their words.
+
+    A window reaches half of its other words or more to the left of its anchor, or to the right. Of each span the digest of the anchor with so many words on either side
+    goes along, and the windows that hold it: windows that two documents share have one of these halves in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 rows = batch.slice(block.first, block.rows)
                 starts, ends, bounds, words = block_words(block)
-                start, anchor = anchors(words, bounds, window)
+                start, anchor, begin, behind = anchors(words, bounds, window, where=True)
                 row = rows_of(bounds)[start]
                 there = within(anchor, row, *listed(rows.column("anchors")))
-                start, anchor, row = start[there], anchor[there], row[there]
+                start, anchor, row, begin, behind = start[there], anchor[there], row[there], begin[there], behind[there]
                 new = np.ones(len(start), bool)
-                new[1:] = (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                new[1:] = (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (begin[1:] != begin[:-1])
                 head = np.flatnonzero(new)
                 count = np.diff(np.append(head, len(start)))
-                first, row = start[head], row[head]
-                yield spans_table(rows, row, first - bounds[row], count, spans_text(block.spaced(starts, ends), first, first + count + window - 1))
-
-    return texts.select("doc_id", "text", "text_key", "anchors").mapInArrow(run, SPANS)
+                first, row, begin, behind = start[head], row[head], begin[head], behind[head]
+                spaced = block.spaced(starts, ends)
+                columns = spans_table(rows, row, first - bounds[row], count, spans_text(spaced, first, first + count + window - 1))
+                reach = (window - (behind - begin)) // 2
+                left = np.clip(begin - reach - first + 1, 0, count)
+                right_first = np.clip(behind + reach - window, first, first + count)
+                right = first + count - right_first
+                for name, some, a, z in (("left", left, begin - reach, behind), ("right", right, begin, behind + reach)):
+                    at = np.flatnonzero(some > 0)
+                    half = np.full(len(first), None, object)
+                    half[at] = [short_digest(x) for x in spans_text(spaced, a[at], z[at])]
+                    columns |= {f"{name}_count": pa.array(some.astype(np.int32)), f"{name}_half": pa.array(half, pa.binary())}
+                columns["right_first"] = pa.array((right_first - bounds[row]).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({n: columns[n] for n in ("doc_id", "text_key", "first", "count", "span", "left_count", "left_half", "right_first", "right_count", "right_half")})
+
+    return texts.select("doc_id", "text", "text_key", "anchors").mapInArrow(run, SPANS + HALVES)
+
+
+def with_shared_halves(spans: DataFrame) -> DataFrame:
+    """The runs of windows of spans at those halves that several documents have."""
+    left = spans.where("left_count > 0").select("doc_id", "text_key", "first", F.col("left_count").alias("count"), F.col("left_half").alias("half"))
+    right = spans.where("right_count > 0").select("doc_id", "text_key", F.col("right_first").alias("first"), F.col("right_count").alias("count"), F.col("right_half").alias("half"))
+    both = left.unionByName(right)
+    shared = checkpointed(both.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half"))
+    return both.join(shared, "half").drop("half")
 
 
 def stretches(rows: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,10 +272,10 @@ def windows_of(texts: DataFrame, window: int) -> DataFrame:
             for block in blocks(batch.column("text")):
                 rows = batch.slice(block.first, block.rows)
                 starts, ends, bounds = block.words()
-                row, first, count = stretches(rows, bounds)
-                each = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                row = np.repeat(row, count)
-                yield spans_table(rows, row, each - bounds[row], np.ones(len(each), np.int64), spans_text(block.spaced(starts, ends), each, each + window))
+                _, first, count = stretches(rows, bounds)
+                each = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+                row = np.searchsorted(bounds, each, side="right") - 1
+                yield pa.RecordBatch.from_pydict(spans_table(rows, row, each - bounds[row], np.ones(len(each), np.int64), spans_text(block.spaced(starts, ends), each, each + window)))
 
     return texts.select("doc_id", "text", "text_key", "firsts", "counts").mapInArrow(run, SPANS)
 
@@ -300,10 +339,10 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW, with_text: boo
     some = written(with_nodes(texts, wanted.select(F.col("doc_id").alias("node"))))
     spans = written(shared_spans(some.join(wanted, row), window))
     lost, smallest = at_smallest(spans)
-    lost, smallest = written(lost), written(per_document(smallest))
+    lost, smallest = written(lost.select(*row, "first", "count")), written(per_document(with_shared_halves(written(smallest))))
     windows = written(windows_of(some.join(smallest, row), window))
     more, _ = at_smallest(windows)
-    hits = written(per_document(lost.unionByName(more)))
+    hits = written(per_document(lost.unionByName(more.select(*row, "first", "count"))))
     cut = without_windows(some.join(hits, row), window)
     rest = made.drop("anchors").join(hits.select(row), row, "left_anti").join(whole.withColumn("copy", F.lit(True)), row, "left")
     copy = F.coalesce("copy", F.lit(False))
