@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daqframe.llm.session import checkpointed
+
 
 def narrow(documents: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table has."""
@@ -31,8 +33,13 @@ def sampled(rows: DataFrame, most: int, longest: int, most_bytes: int, marks: Da
     key = key.where("doc_id is not null and label is not null")
     one = key.groupBy("doc_id", "label").agg(F.min(F.struct((F.col("size") > longest).alias("long"), "text_key", "size")).alias("x")).select("doc_id", "label", "x.*")
     one = one.withColumn("pick", F.xxhash64("doc_id"))
-    nth = one.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("long", "pick", "doc_id"))).where(F.col("nth") <= most)
-    labels = max(1, one.select("label").distinct().count())
+    # hashes are spread evenly: about twice the rows that a label can need lie below this share of them, so no task ranks more however large the table
+    counts = checkpointed(one.groupBy("label").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long")))
+    labels = max(1, counts.count())
+    place = F.col("pick").cast("double") / float(1 << 64) + 0.5
+    need = F.when(~F.col("long"), place * F.col("n_short") < 2 * most + 64).otherwise((F.col("n_short") < most) & (place * F.col("n_long") < 2 * most + 64))
+    some = one.join(F.broadcast(counts) if labels <= 1 << 16 else counts, "label").where(need).drop("n_short", "n_long")
+    nth = some.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("long", "pick", "doc_id"))).where(F.col("nth") <= most)
     first = [(F.col("nth") > max(1, most // (8 * labels))), F.col("long"), F.col("pick"), F.col("doc_id"), F.col("label")]
     chosen, left = [], most_bytes
     for r in nth.orderBy(*first).limit(most).collect():  # at most `most` rows of numbers
