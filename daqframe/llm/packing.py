@@ -9,9 +9,9 @@ capacity; the first piece may be shorter. Pieces are then packed by bulk-synchro
   the i-th place. Where no gap holds it, new sequences open. Gaps are updated and the next round follows.
 * A piece finds its place by its rank.
 
-Lengths and gaps are at most the capacity, so the sorted runs have at most as many members as the capacity has values, whatever the number of documents:
-the sweeps of a round run on the driver over these runs, in a bounded table; ranks, pieces and tokens stay distributed. The
-outcome is that of best-fit decreasing over all pieces.
+Lengths and gaps are at most the capacity, so there are at most as many sorted lengths and gap sizes as the capacity has values, whatever the number of documents; a gap
+size may hold several runs of sequences, but their number doesn't grow with the documents either (under 5,000 in all for any multiple of one set of lengths). The sweeps run on
+the driver over these runs; ranks, pieces and tokens stay distributed. The outcome is that of best-fit decreasing over all pieces.
 
 Defined results: a null or empty text is one piece, id 0 alone; repeated rows are packed each; an empty table gives an empty
 result; columns other than doc_id and text are not read. The file's added tokens are found in a text and get their ids, as the
