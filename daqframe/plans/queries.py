@@ -568,9 +568,9 @@ def q_index_and_end(spark, sf_dir):
     records = sources.read(spark, path, "records")
     end = sources.read(spark, path, "end_records").select("path", "total_records", "data_records", "last_index_offset")
     counted = records.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "DATA").alias("d"), F.max(F.when(F.col("type") == "INDX", F.col("record_offset"))).alias("i"))
-    agree = end.join(counted, "path", "full").agg(F.bool_and(F.coalesce((F.col("n") == F.col("total_records")) & (F.col("d") == F.col("data_records")) & (F.col("i") == F.col("last_index_offset")), F.lit(False))).alias("totals_agree"))
+    agree = end.join(counted, "path", "full").agg(F.bool_and(F.coalesce((F.col("n") == F.col("total_records")) & (F.col("d") == F.col("data_records")) & (F.coalesce("i", F.lit(0)) == F.col("last_index_offset")), F.lit(False))).alias("totals_agree"))
     met = index.join(records.select("path", "record_offset", F.col("sequence").alias("target_sequence")), ["path", "record_offset", "target_sequence"], "left_semi").agg(F.count("*").alias("met"))
-    sums = index.agg(F.sum("count").alias("samples"), F.min("first_time_ticks").alias("first_ticks"), F.max("last_time_ticks").alias("last_ticks"), F.count("*").alias("entries"))
+    sums = index.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("samples"), F.min("first_time_ticks").alias("first_ticks"), F.max("last_time_ticks").alias("last_ticks"), F.count("*").alias("entries"))
     every = sums.unionByName(agree, allowMissingColumns=True).unionByName(met, allowMissingColumns=True)  # three rows
     return every.agg(*(F.max(c).alias(c) for c in ("samples", "first_ticks", "last_ticks", "totals_agree")), (F.max("met") == F.max("entries")).alias("found"))
 

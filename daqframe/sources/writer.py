@@ -85,7 +85,10 @@ class FileBuilder:
         head.transforms = len(ids)
         head.check_time()
         at = self.add(Record(w.DATA, 0, 0, head.pack(), payload))
-        first, last = (int(times[0]) + (head.start if head.time_mode == 2 else 0), int(times[-1]) + (head.start if head.time_mode == 2 else 0)) if times is not None and len(times) else (w.UNKNOWN_TIME,) * 2
+        first = last = w.UNKNOWN_TIME
+        if times is not None and len(times):  # the earliest and the latest: samples needn't lie in the order of their times
+            start = head.start if head.time_mode == 2 else 0
+            first, last = start + int(times.min()), start + int(times.max())
         if head.time_mode == 1 and head.count:
             first, last = head.start, head.start + (head.count - 1) * head.period[0] // head.period[1]
         self.entries.append((at, self.sequence - 1, head.stream_id, head.first_index, head.count, first, last))

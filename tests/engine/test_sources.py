@@ -467,3 +467,12 @@ def test_documents(spark, folder, tmp_path):
     assert len(found) == 2 and all(4095 in [s["raw"] for r in d["records"] for s in r.get("samples", [])] for d in found)
     binary = spark.read.format("binaryFile").load(f"{folder}/*.daq")
     assert {bytes(r.document)[0] for r in export.documents(binary, "cbor").collect()} == {0xA2}
+
+
+@pytest.mark.parametrize("time", ["explicit", "delta"])
+def test_index_entries_bound_times_in_any_order(spark, tmp_path, time):
+    ticks = [500, -40, 900, 7, 8, 6, 30]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ticks)], "x long, time_ticks long").coalesce(1)
+    write(rows, tmp_path / "t", time=time, chunk="3")
+    entries = sources.read(spark, str(tmp_path / "t"), "index_entries").orderBy("entry").collect()
+    assert [(e["count"], e.first_time_ticks, e.last_time_ticks) for e in entries] == [(3, -40, 900), (3, 6, 8), (1, 30, 30)]
